@@ -12,7 +12,7 @@ WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
 ), w AS (
   SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM d
 ), g AS (
   SELECT rid, i, hash(ws[i]) AS h1, ws[i] || chr(1) || ws[i+1] || chr(1) || ws[i+2] || chr(1) || ws[i+3] || chr(1) || ws[i+4] AS g
@@ -26,7 +26,7 @@ WITH d AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
     CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-    CAST(len(list_filter(ws, x -> lower(x) IN ({STOPS}))) AS BIGINT) AS n_stop_words,
+    CAST(len(list_filter(ws, lambda x: lower(x) IN ({STOPS}))) AS BIGINT) AS n_stop_words,
     CAST(len(ls) AS BIGINT) AS n_lines,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(n.n, 0) AS BIGINT) AS n_repeat_words

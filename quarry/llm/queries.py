@@ -11,6 +11,8 @@ from quarry.llm.common import read_table
 from quarry.llm.line_dedup import line_dedup
 from quarry.llm.packing import pack_documents
 from quarry.llm.quality import quality_rules
+from quarry.llm.sharding import shard_documents
+from quarry.llm.token_files import read_documents, write_tokens
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,13 +27,21 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs_of(spark, sf_dir))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(docs_of(spark, sf_dir))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_documents(write_tokens(docs_of(spark, sf_dir)))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(docs_of(spark, sf_dir))
     return out.select("doc_id", "source", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op8_sharding, op9_token_files, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
