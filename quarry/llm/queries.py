@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import read_table
+from quarry.llm.fingerprints import fingerprints
 from quarry.llm.line_dedup import line_dedup
+from quarry.llm.near_dedup import near_classes
 from quarry.llm.packing import pack_documents
 from quarry.llm.quality import quality_rules
 from quarry.llm.sharding import shard_documents
@@ -27,6 +29,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs_of(spark, sf_dir))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(docs_of(spark, sf_dir))
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_classes(docs_of(spark, sf_dir))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(docs_of(spark, sf_dir))
 
@@ -41,7 +52,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op8_sharding, op9_token_files, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_fingerprints, op5_near_dedup, op8_sharding, op9_token_files, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
