@@ -14,6 +14,7 @@ from quarry.llm.near_dedup import near_classes
 from quarry.llm.packing import pack_documents
 from quarry.llm.quality import quality_rules
 from quarry.llm.sharding import shard_documents
+from quarry.llm.substring_dedup import substring_dedup
 from quarry.llm.token_files import read_documents, write_tokens
 
 
@@ -38,6 +39,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(docs_of(spark, sf_dir))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(docs_of(spark, sf_dir))
 
@@ -52,7 +57,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_fingerprints, op5_near_dedup, op8_sharding, op9_token_files, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_fingerprints, op5_near_dedup, op7_substring_dedup, op8_sharding, op9_token_files, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
