@@ -35,8 +35,8 @@ WITH d AS (
 SELECT *, base_failed_ AS base_failed,
   NOT base_failed_ AND coalesce(n_words BETWEEN 10 AND 1000000, true)
     AND coalesce(word_chars / nullif(n_words, 0) BETWEEN 1.5 AND 18.0, true)
-    AND coalesce(n_symbols / nullif(n_words, 0) <= 0.5, true)
-    AND coalesce(n_stop_words / nullif(n_words, 0) >= 0.005, true)
+    AND coalesce(n_symbols / nullif(n_words, 0) <= 0.1, true)
+    AND (n_words < 50 OR n_stop_words / n_words >= 0.005)
     AND coalesce(n_dup_lines / nullif(n_lines, 0) <= 0.5, true) AS kept
 FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed_ FROM m)
 """.replace("SELECT *, base_failed_ AS base_failed,", "SELECT * EXCLUDE (base_failed_), base_failed_ AS base_failed,").replace("hash(ws[i]) AS h1, ", "")

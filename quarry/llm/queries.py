@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import read_table
 from quarry.llm.fingerprints import fingerprints
+from quarry.llm.language_id import language_id
 from quarry.llm.line_dedup import line_dedup
 from quarry.llm.near_dedup import near_classes
 from quarry.llm.packing import pack_documents
@@ -34,6 +35,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(docs_of(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(docs_of(spark, sf_dir))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_classes(docs_of(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -57,7 +62,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_fingerprints, op5_near_dedup, op7_substring_dedup, op8_sharding, op9_token_files, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_fingerprints, op4_language_id, op5_near_dedup, op7_substring_dedup, op8_sharding, op9_token_files, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
