@@ -11,6 +11,7 @@ from quarry.llm.common import read_table
 from quarry.llm.fingerprints import fingerprints
 from quarry.llm.language_id import language_id
 from quarry.llm.line_dedup import line_dedup
+from quarry.llm.nbest import encode_documents
 from quarry.llm.near_dedup import near_classes
 from quarry.llm.packing import pack_documents
 from quarry.llm.quality import quality_rules
@@ -44,6 +45,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(docs_of(spark, sf_dir))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(docs_of(spark, sf_dir))
 
@@ -62,7 +67,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_fingerprints, op4_language_id, op5_near_dedup, op7_substring_dedup, op8_sharding, op9_token_files, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_fingerprints, op4_language_id, op5_near_dedup, op6_nbest, op7_substring_dedup, op8_sharding, op9_token_files, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
