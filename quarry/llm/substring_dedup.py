@@ -31,11 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.llm.common import documents, input_bytes, key_groups, materialize, runs, splitmix
+from quarry.llm.common import bucketed, documents, input_bytes, key_groups, materialize, release, runs, splitmix
 
 LENGTH, Q = 50, 24
-PART_BYTES = 16 << 20
+PART_BYTES, CHUNK = 16 << 20, 1 << 19
+MOST = (1 << 22) - 1  # strings of a run: 22 bits of a packed run
 BYTES = splitmix(256, 7)
 M1, M2, S = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
@@ -75,24 +77,50 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def string_runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of strings with one bucket: first string, number of strings, bucket; and the strings' own identifiers."""
-    b24, b50 = identifiers(data)
+def string_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Runs of strings with one bucket, of several texts at once: text, first string, number of strings, bucket, place in the joined texts; and the strings' identifiers by place."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    b24, b50 = identifiers(b"".join(texts))
     if not len(b50):
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), b50)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64), b50)
     bucket = least(b24, LENGTH - Q + 1)
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    return starts, np.diff(np.r_[starts, len(bucket)]), bucket[starts], b50
+    inside = np.zeros(len(bucket) + 1, np.int8)
+    long = np.flatnonzero(sizes >= LENGTH)
+    inside[begin[long]] = 1
+    inside[begin[long] + sizes[long] - LENGTH + 1] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+    new = np.r_[True, (bucket[1:] != bucket[:-1]) | ~inside[:-1]]
+    starts = np.flatnonzero(inside & new)
+    ends = np.flatnonzero(inside & np.r_[new[1:] | ~inside[1:], True])
+    n = ends - starts + 1
+    if len(n) and n.max() > MOST:  # a run this long is several, wherever it starts
+        pieces = -(-n // MOST)
+        step = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * MOST
+        n = np.minimum(MOST, np.repeat(n, pieces) - step)
+        starts = np.repeat(starts, pieces) + step
+    text = np.searchsorted(begin[long], starts, side="right") - 1
+    return long[text], starts - begin[long][text], n, bucket[starts], starts, b50
+
+
+def run_identifiers(starts: np.ndarray, n: np.ndarray, b50: np.ndarray) -> np.ndarray:
+    """Identifiers of runs: of all their strings, each at its offset."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    begin = np.cumsum(n) - n
+    offset = np.arange(n.sum()) - np.repeat(begin, n)
+    return np.add.reduceat(pair(b50[np.repeat(starts, n) + offset], offset.astype(np.uint64) * M2), begin)
 
 
-def run_identifiers(starts: np.ndarray, n: np.ndarray, b50: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Identifiers of the chosen runs: of all their strings, each at its offset."""
-    s, m = starts[chosen], n[chosen]
-    if not len(s):
-        return np.zeros(0, np.uint64)
-    begin = np.cumsum(m) - m
-    offset = np.arange(m.sum()) - np.repeat(begin, m)
-    return np.add.reduceat(pair(b50[np.repeat(s, m) + offset], offset.astype(np.uint64) * M2), begin)
+def chunks(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    """Rows of a batch with their texts as bytes, a few hundred kB at a time; columns follow as slices."""
+    text, start, held, size = batch.column("text"), 0, [], 0
+    for k in range(batch.num_rows):
+        held.append(text[k].as_py().encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size >= CHUNK or k + 1 == batch.num_rows:
+            yield held, *(batch.column(c).slice(start, len(held)) for c in columns)
+            start, held, size = k + 1, [], 0
 
 
 def parts_for(docs: DataFrame) -> int:
@@ -124,17 +152,19 @@ def packed_buckets(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "keys", "of", "ids"])
 
     for b in batches:
-        for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            if doc_id is None:
-                continue
-            data = text.encode("utf-8", "surrogatepass")
-            bucket = np.unique(string_runs(data)[2] >> down)
-            if len(bucket):
-                keys.append(bucket)
-                whose.append(np.full(len(bucket), len(ids), np.uint16))
-                ids.append(doc_id)
-                size += len(data)
-            if size >= 2 * PART_BYTES or len(ids) == 65_535:
+        for texts, doc_ids in chunks(b, "doc_id"):
+            text, _, _, bucket, _, _ = string_runs(texts)
+            bucket >>= down
+            order = np.lexsort((bucket, text))
+            text, bucket = text[order], bucket[order]
+            new = np.r_[True, (text[1:] != text[:-1]) | (bucket[1:] != bucket[:-1])][: len(text)]
+            known = doc_ids.is_valid().to_numpy(zero_copy_only=False)
+            new &= known[text]
+            keys.append(bucket[new])
+            whose.append((text[new] + len(ids)).astype(np.uint16))
+            ids += doc_ids.fill_null(0).to_pylist()
+            size += sum(map(len, texts))
+            if size >= 2 * PART_BYTES or len(ids) > 60_000:
                 yield out()
                 size = 0
     if ids:
@@ -163,25 +193,39 @@ def shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array([keys[i : i + m].tobytes() for i, m in zip(s.tolist(), n.tolist(), strict=True)], pa.binary())], names=["_id", "keys"])
 
 
-RUN_SCHEMA = "bucket long, run long, doc_id long, row long, first long, n long"
+RUN_SCHEMA = "bucket long, run long, doc_id long, row long, span long"
 
 
 def document_runs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """The runs whose bucket is shared."""
+    """The runs whose bucket is shared; span has the first string and, in 22 bits, the number of strings."""
     down = np.uint64(32 - (parts.bit_length() - 1))
     for b in batches:
-        cols: list[list] = [[] for _ in range(6)]
-        for doc_id, row, text, keys in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text", "keys")), strict=True):
-            starts, n, bucket, b50 = string_runs(text.encode("utf-8", "surrogatepass"))
-            chosen = np.flatnonzero(np.isin(bucket >> down, np.frombuffer(b"".join(keys), "<u8")))
-            values = bucket[chosen].view(np.int64), run_identifiers(starts, n, b50, chosen).view(np.int64), np.full(len(chosen), doc_id), np.full(len(chosen), row), starts[chosen], n[chosen]
-            for c, x in zip(cols, values, strict=True):
-                c.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in cols], names=[x.split()[0] for x in RUN_SCHEMA.split(", ")])
+        for texts, doc_ids, rows, keys in chunks(b, "doc_id", "row", "keys"):
+            text, first, n, bucket, starts, b50 = string_runs(texts)
+            shared = np.unique(np.frombuffer(b"".join(x for k in keys.to_pylist() for x in k), "<u8"))
+            chosen = np.flatnonzero(np.isin(bucket >> down, shared))
+            text, values = text[chosen], run_identifiers(starts[chosen], n[chosen], b50)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (bucket[chosen].view(np.int64), values.view(np.int64), doc_ids.to_numpy()[text], rows.to_numpy()[text], first[chosen] << 22 | n[chosen])], names=[x.split()[0] for x in RUN_SCHEMA.split(", ")]
+            )
+
+
+def by_row(doc: np.ndarray, row: np.ndarray, **lists: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """A record for each (doc, row), with a list of the chosen values for each (chosen, values)."""
+    order = np.lexsort((row, doc))
+    doc, row = doc[order], row[order]
+    starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])][: len(doc)])
+    names, columns = ["_doc", "_row"], [pa.array(doc[starts]), pa.array(row[starts])]
+    for name, (chosen, values) in lists.items():
+        chosen, values = chosen[order], values[order]
+        offsets = np.r_[0, np.cumsum(chosen)]
+        names.append(name)
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets[np.r_[starts, len(doc)]], pa.int32()), pa.array(values[chosen])))
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by bucket: those wholly repeated (open false), and representatives in buckets with several identifiers (open true)."""
+    """Runs sorted by bucket; by document row, those wholly repeated (done) and representatives in buckets with several identifiers (todo)."""
     for t in key_groups(batches, "bucket"):
         bucket, run, doc = (t.column(c).to_numpy() for c in ("bucket", "run", "doc_id"))
         order = np.lexsort((doc, run, bucket))
@@ -195,47 +239,50 @@ def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.bincount(bucket_of[class_start], minlength=bucket_of[-1] + 1)
         is_open = ~repeated & (classes[bucket_of] > 1)
         chosen = np.flatnonzero(repeated | is_open)
-        rest = t.take(pa.array(order[chosen]))
-        yield from pa.table({"_doc": rest.column("doc_id"), "_row": rest.column("row"), "first": rest.column("first"), "n": rest.column("n"), "open": pa.array(is_open[chosen])}).combine_chunks().to_batches()
+        at = order[chosen]
+        row, span = t.column("row").to_numpy()[at], t.column("span").to_numpy()[at]
+        yield by_row(doc[chosen], row, done=(repeated[chosen], span), todo=(is_open[chosen], span))
 
 
-def packed_runs(rows: DataFrame) -> DataFrame:
-    """_doc, _row and its runs in packed form (first string and number of strings, by open)."""
-    return rows.groupBy("_doc", "_row").agg(F.collect_list(F.when(~F.col("open"), F.struct("first", "n"))).alias("done"), F.collect_list(F.when(F.col("open"), F.struct("first", "n"))).alias("todo"))
+def gathered(rows: DataFrame, *lists: str) -> DataFrame:
+    """A row for each _doc and _row, with its lists put together."""
+    return rows.groupBy("_doc", "_row").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in lists])
 
 
-def covered(pairs: list[dict], n: int) -> np.ndarray:
+def covered(spans: np.ndarray, n: int) -> np.ndarray:
     """Which of n strings lie in the runs."""
     marks = np.zeros(n + 1, np.int32)
-    if pairs:
-        at = np.array([(p["first"], p["first"] + p["n"]) for p in pairs], np.int64)
-        np.add.at(marks, at[:, 0], 1)
-        np.add.at(marks, at[:, 1], -1)
+    first = spans >> 22
+    np.add.at(marks, first, 1)
+    np.add.at(marks, first + (spans & MOST), -1)
     return np.cumsum(marks[:n]) > 0
 
 
 def open_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct strings of the representatives' open runs, by identifier."""
     for b in batches:
-        strings, docs, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for doc_id, row, text, todo in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text", "todo")), strict=True):
-            if todo:
-                b50 = identifiers(text.encode("utf-8", "surrogatepass"))[1]
-                own = np.unique(b50[covered(todo, len(b50))])
-                strings.append(own)
-                docs.append(np.full(len(own), doc_id))
-                rows.append(np.full(len(own), row))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(strings).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(rows))], names=["string", "doc_id", "row"])
+        for texts, doc_ids, rows, todo in chunks(b, "doc_id", "row", "todo"):
+            sizes = np.array([len(t) for t in texts], np.int64)
+            spans = todo.flatten().to_numpy()
+            whose = np.repeat(np.arange(len(texts)), np.diff(todo.offsets.to_numpy()))
+            n = spans & MOST
+            starts = (np.cumsum(sizes) - sizes)[whose] + (spans >> 22)
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            string, whose = identifiers(b"".join(texts))[1][np.repeat(starts, n) + offset], np.repeat(whose, n)
+            order = np.lexsort((string, whose))
+            string, whose = string[order], whose[order]
+            new = np.r_[True, (whose[1:] != whose[:-1]) | (string[1:] != string[:-1])][: len(string)]
+            string, whose = string[new], whose[new]
+            yield pa.RecordBatch.from_arrays([pa.array(string.view(np.int64)), pa.array(doc_ids.to_numpy()[whose]), pa.array(rows.to_numpy()[whose])], names=["string", "doc_id", "row"])
 
 
 def repeated_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by string: those whose document is not the smallest that has it."""
+    """Of rows sorted by string, by document row: the strings of which the document is not the smallest that has them."""
     for t in key_groups(batches, "string"):
         string, doc = t.column("string").to_numpy(), t.column("doc_id").to_numpy()
         starts, sizes = runs(string)
         later = doc > np.repeat(np.minimum.reduceat(doc, starts), sizes)
-        t = t.filter(pa.array(later))
-        yield from pa.table({"_doc": t.column("doc_id"), "_row": t.column("row"), "string": t.column("string")}).combine_chunks().to_batches()
+        yield by_row(doc[later], t.column("row").to_numpy()[later], strings=(np.ones(int(later.sum()), bool), string[later]))
 
 
 def without(data: bytes, removed: np.ndarray) -> tuple[bytes, int, int]:
@@ -249,64 +296,89 @@ def without(data: bytes, removed: np.ndarray) -> tuple[bytes, int, int]:
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
 
 
-RESULT = "doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+def shared_keys(rows: DataFrame, parts: int, tasks: int) -> DataFrame:
+    """_id and keys, of each document that has shared buckets."""
+    packed = rows.select("doc_id", "text").mapInArrow(lambda x: packed_buckets(x, parts), "part int, keys binary, of binary, ids binary")
+    shared = packed.repartition(min(parts, max(tasks, 16)), "part").sortWithinPartitions("part").mapInArrow(shared_buckets, "_id long, keys binary")
+    return materialize(shared.groupBy("_id").agg(F.collect_list("keys").alias("keys")), "keys")
+
+
+def settled_runs(others: DataFrame, parts: int, tasks: int) -> DataFrame:
+    """_doc, _row and packed runs: done (wholly repeated) and todo (to look into)."""
+    found = others.select("doc_id", "row", "text", "keys").mapInArrow(lambda x: document_runs(x, parts), RUN_SCHEMA)
+    settled = found.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(refined, "_doc long, _row long, done array<long>, todo array<long>")
+    return materialize(gathered(settled, "done", "todo"), "runs")
+
+
+def settled_strings(others: DataFrame, per_row: DataFrame, tasks: int) -> DataFrame:
+    """_d, _r and the identifiers of repeated strings in open runs."""
+    asked = per_row.where(F.size("todo") > 0)
+    open_ = others.join(asked, (others["doc_id"] == asked["_doc"]) & (others["row"] == asked["_row"])).select("doc_id", "row", "text", "todo")
+    strings = open_.mapInArrow(open_strings, "string long, doc_id long, row long")
+    later = strings.repartition(tasks, "string").sortWithinPartitions("string").mapInArrow(repeated_strings, "_doc long, _row long, strings array<long>")
+    return materialize(gathered(later, "strings").withColumnsRenamed({"_doc": "_d", "_row": "_r"}), "strings")
 
 
-def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows of docs without a shared bucket (doc_id, text); the others with their text; and per row of the others, what is removed.
+def removals(docs: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row, text, keep), in buckets by doc_id and row; and per row that has any shared bucket, what is removed.
 
-    The last: _doc, _row, done (runs of strings wholly repeated), todo (runs to look into), strings (identifiers repeated).
+    The latter: _doc, _row, done (packed runs of strings wholly repeated), todo (runs to look into), strings (identifiers repeated).
+    Each step is written to the shared scratch folder; its shuffle files go before the next step begins.
     """
     spark = docs.sparkSession
-    rows = documents(docs)
+    rows = documents(docs, *keep)
     parts, tasks = parts_for(docs), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = rows.mapInArrow(lambda x: packed_buckets(x, parts), "part int, keys binary, of binary, ids binary")
-    shared = packed.repartition(min(parts, max(tasks, 16)), "part").sortWithinPartitions("part").mapInArrow(shared_buckets, "_id long, keys binary")
-    wanted = shared.groupBy("_id").agg(F.collect_list("keys").alias("keys"))
-    joined = rows.join(wanted, rows["doc_id"] == wanted["_id"], "left").select("doc_id", F.xxhash64("text").alias("row"), "text", "keys")
-    joined = materialize(joined.withColumn("alone", F.col("keys").isNull()), "documents")
-    alone, others = joined.where("alone").select("doc_id", "text"), joined.where("NOT alone")
-    found = others.select("doc_id", "row", "text", "keys").mapInArrow(lambda x: document_runs(x, parts), RUN_SCHEMA)
-    settled = found.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(refined, "_doc long, _row long, first long, n long, open boolean")
-    per_row = materialize(packed_runs(settled), "runs")
-    texts = others.select("doc_id", "row", "text")
-    asked = per_row.where(F.size("todo") > 0)
-    open_ = texts.join(asked, (texts["doc_id"] == asked["_doc"]) & (texts["row"] == asked["_row"])).select("doc_id", "row", "text", "todo")
-    strings = open_.mapInArrow(open_strings, "string long, doc_id long, row long")
-    later = strings.repartition(tasks, "string").sortWithinPartitions("string").mapInArrow(repeated_strings, "_doc long, _row long, string long")
-    lists = later.groupBy("_doc", "_row").agg(F.collect_list("string").alias("strings")).withColumnsRenamed({"_doc": "_d", "_row": "_r"})
+    wanted = shared_keys(rows, parts, tasks)
+    release(spark)
+    joined = rows.join(wanted, rows["doc_id"] == wanted["_id"], "left").select("doc_id", F.xxhash64("text").alias("row"), "text", "keys", *keep)
+    table = bucketed(joined, "documents", "doc_id", "row")
+    release(spark)
+    others = table.where("keys IS NOT NULL")
+    per_row = settled_runs(others, parts, tasks)
+    release(spark)
+    lists = settled_strings(others, per_row, tasks)
+    release(spark)
     both = per_row.join(lists, (F.col("_doc") == F.col("_d")) & (F.col("_row") == F.col("_r")), "left").select("_doc", "_row", "done", "todo", "strings")
-    return alone, texts, both
+    return table.select("doc_id", "row", "text", *keep), both
 
 
-def removed_strings(data: bytes, done: list | None, todo: list | None, strings: list | None) -> np.ndarray:
+def removed_strings(data: bytes, done: np.ndarray, todo: np.ndarray, strings: np.ndarray) -> np.ndarray:
     """Which strings of a document go."""
     n = max(0, len(data) - LENGTH + 1)
-    out = covered(done or [], n)
-    if todo and strings:
+    out = covered(done, n)
+    if len(todo) and len(strings):
         b50 = identifiers(data)[1]
-        out |= covered(todo, n) & np.isin(b50.view(np.int64), np.array(strings, np.int64))
+        out |= covered(todo, n) & np.isin(b50.view(np.int64), strings)
     return out
 
 
-def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and kept (the remaining bytes, binary) with_text."""
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, row long" * with_text
-    names = [x.split()[0] for x in schema.split(", ")]
+def substring_dedup(docs: DataFrame, *keep: str, with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the columns keep of every row; kept (the remaining text, less characters cut in two) with_text."""
+    texts, found = removals(docs, *keep)
+    lists = ("done", "todo", "strings")
+    rows = texts.join(found, (texts["doc_id"] == found["_doc"]) & (texts["row"] == found["_row"]), "left").select("doc_id", "text", *[F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in lists], *keep)
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())])
+    schema = T.StructType(schema.fields + [T.StructField("kept", T.StringType())] * with_text + [rows.schema[c] for c in keep])
+    names = schema.names
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for row, doc_id, text, done, todo, strings in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "text", "done", "todo", "strings")), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                kept, n, spans = without(data, removed_strings(data, done, todo, strings)) if done or todo else (data, 0, 0)
-                out.append((doc_id, len(data), n, spans, hashlib.sha256(kept).hexdigest(), kept, row)[: len(names)])
-            types = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.int64()]
+            for doc_id, text, *found in zip(b.column("doc_id").to_pylist(), b.column("text"), *(b.column(c) for c in lists), strict=True):
+                data = text.as_py().encode("utf-8", "surrogatepass")
+                done, todo, strings = (x.values.to_numpy() for x in found)
+                kept, n, spans = without(data, removed_strings(data, done, todo, strings)) if len(done) or len(strings) else (data, 0, 0)
+                out.append((doc_id, len(data), n, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None)[: 5 + with_text])
+            types = [pa.int64()] * 4 + [pa.string()] * 2
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types)] + [b.column(c) for c in keep], names=names)
+
+    return rows.mapInArrow(work, schema)
+
 
-    alone, texts, found = removals(docs)
-    columns = ("doc_id", "row", "text", "done", "todo", "strings")
-    some = texts.join(found, (texts["doc_id"] == found["_doc"]) & (texts["row"] == found["_row"]), "left").select(*columns)
-    whole = alone.select("doc_id", F.xxhash64("text").alias("row"), "text", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in columns[3:]])
-    return some.unionByName(whole).mapInArrow(work, schema)
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with repeated bytes taken out of text; characters that lose some of their bytes go. Texts that lose nothing stay, null ones too."""
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_all"))
+    out = substring_dedup(packed, "_all", with_text=True)
+    text = F.when(F.col("n_removed") == 0, F.col("_all")["text"]).otherwise(F.col("kept"))
+    return out.select(*[text.alias(c) if c == "text" else F.col("_all")[c].alias(c) for c in docs.columns])
