@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -36,18 +37,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    """materialize(), dealt into buckets by keys: later joins on all of keys don't shuffle this table again."""
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """materialize() a table that comes dealt out by key, in buckets: later joins on key don't shuffle it again."""
     spark = df.sparkSession
-    table, n = f"quarry_{name}_{uuid.uuid4().hex}", shuffle_partitions(spark)
-    df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).option("path", scratch_path(spark, name)).saveAsTable(table)
+    table = f"quarry_{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(shuffle_partitions(spark), key).option("path", scratch_path(spark, name)).saveAsTable(table)
     return spark.table(table)
 
 
 def release(spark: SparkSession) -> None:
     """Let the driver forget finished steps now, so that their shuffle files go before the next step writes its own."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,8 +5,8 @@ more than ratio of them. Boilerplate lines go; every other line, blank ones incl
 
 Lines are shuffled as digests, counted per host with map-side combine. What a host drops is an array of
 at most (mean lines per page / ratio) digests, so the table of hosts is small in proportion to the hosts; it meets
-the documents in a left join that AQE turns into a broadcast only after measuring its size and otherwise splits
-where a host is hot. Texts themselves are never grouped.
+the documents in a left join: by broadcast if it has at most BROADCAST_KEYS digests, as counted, or else by host and a salt, so
+that a hot host is spread over SALTS tasks. Texts themselves are never grouped.
 
 Defined results: null or empty text has no lines and stays as it is; a null host is a host of its own;
 an empty table gives an empty table; repeated rows are pages of their own.
@@ -17,7 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import materialize
+
 RATIO, MIN_PAGES = 0.05, 5
+BROADCAST_KEYS, SALTS = 200_000, 64
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -45,8 +48,14 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
 def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """docs with boilerplate lines taken out of text, and _n_lines, _n_dropped."""
     source = docs.select(F.struct(*docs.columns).alias("_row"), F.col(host).alias("_h"), F.col("text").cast("string").alias("_t"))
-    drops = boilerplate(source, F.col("_h"), F.col("_t"), ratio, min_pages)
-    joined = source.join(drops, source["_h"].eqNullSafe(drops["_host"]), "left").select("_row", "_t", F.split("_t", "\n").alias("_all"), "_drop")
+    drops = materialize(boilerplate(source, F.col("_h"), F.col("_t"), ratio, min_pages), "boilerplate")
+    same = source["_h"].eqNullSafe(drops["_host"])
+    if (drops.agg(F.sum(F.size("_drop"))).first()[0] or 0) <= BROADCAST_KEYS:
+        both = source.join(F.broadcast(drops), same, "left")
+    else:
+        salted = drops.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = source.withColumn("_s", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_s") == F.col("_salt")), "left")
+    joined = both.select("_row", "_t", F.split("_t", "\n").alias("_all"), "_drop")
     keep = joined.select("_row", "_t", "_all", F.when(F.col("_drop").isNull(), F.col("_all")).otherwise(F.filter("_all", lambda x: ~(x.rlike(HAS_WORD) & F.array_contains("_drop", line_key(x))))).alias("_kept"))
     text = F.when(F.size("_kept") == F.size("_all"), F.col("_t")).otherwise(F.array_join("_kept", "\n"))
     columns = [text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]

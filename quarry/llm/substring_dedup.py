@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -310,10 +310,15 @@ def settled_runs(others: DataFrame, parts: int, tasks: int) -> DataFrame:
     return materialize(gathered(settled, "done", "todo"), "runs")
 
 
+def same_row(texts: DataFrame, found: DataFrame) -> Column:
+    """Joins by doc_id alone, by which texts are bucketed; row, which tells rows with one doc_id apart, is checked on what meets."""
+    return (texts["doc_id"] == found["_doc"]) & (texts["row"].bitwiseXOR(found["_row"]) == 0)
+
+
 def settled_strings(others: DataFrame, per_row: DataFrame, tasks: int) -> DataFrame:
     """_d, _r and the identifiers of repeated strings in open runs."""
     asked = per_row.where(F.size("todo") > 0)
-    open_ = others.join(asked, (others["doc_id"] == asked["_doc"]) & (others["row"] == asked["_row"])).select("doc_id", "row", "text", "todo")
+    open_ = others.join(asked, same_row(others, asked)).select("doc_id", "row", "text", "todo")
     strings = open_.mapInArrow(open_strings, "string long, doc_id long, row long")
     later = strings.repartition(tasks, "string").sortWithinPartitions("string").mapInArrow(repeated_strings, "_doc long, _row long, strings array<long>")
     return materialize(gathered(later, "strings").withColumnsRenamed({"_doc": "_d", "_row": "_r"}), "strings")
@@ -331,7 +336,7 @@ def removals(docs: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
     wanted = shared_keys(rows, parts, tasks)
     release(spark)
     joined = rows.join(wanted, rows["doc_id"] == wanted["_id"], "left").select("doc_id", F.xxhash64("text").alias("row"), "text", "keys", *keep)
-    table = bucketed(joined, "documents", "doc_id", "row")
+    table = bucketed(joined, "documents", "doc_id")
     release(spark)
     others = table.where("keys IS NOT NULL")
     per_row = settled_runs(others, parts, tasks)
@@ -356,7 +361,7 @@ def substring_dedup(docs: DataFrame, *keep: str, with_text: bool = False) -> Dat
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the columns keep of every row; kept (the remaining text, less characters cut in two) with_text."""
     texts, found = removals(docs, *keep)
     lists = ("done", "todo", "strings")
-    rows = texts.join(found, (texts["doc_id"] == found["_doc"]) & (texts["row"] == found["_row"]), "left").select("doc_id", "text", *[F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in lists], *keep)
+    rows = texts.join(found, same_row(texts, found), "left").select("doc_id", "text", *[F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in lists], *keep)
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())])
     schema = T.StructType(schema.fields + [T.StructField("kept", T.StringType())] * with_text + [rows.schema[c] for c in keep])
     names = schema.names
