@@ -171,8 +171,8 @@ def packed_buckets(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa
         yield out()
 
 
-def shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each part, for each document: its buckets that stand in other documents too. Rows are sorted by part."""
+def shared_buckets(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+    """Of each part, for each group of documents: the buckets that stand in other documents too, in packed form. Rows are sorted by part."""
     for t in key_groups(batches, "part", rows=1):
         edges = runs(t.column("part").to_numpy())
         for at, size in zip(*(x.tolist() for x in edges), strict=True):
@@ -185,12 +185,24 @@ def shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             starts, sizes = runs(keys)
             shared = np.repeat(np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts), sizes)
             keys, ids = keys[shared].astype(np.uint64) | part << np.uint64(32), ids[shared]
-            order = np.argsort(ids, kind="stable")
-            keys, ids = keys[order], ids[order]
-            starts, sizes = runs(ids)
-            for k in range(0, len(starts), 20_000):
-                s, n = starts[k : k + 20_000], sizes[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array([keys[i : i + m].tobytes() for i, m in zip(s.tolist(), n.tolist(), strict=True)], pa.binary())], names=["_id", "keys"])
+            group = (ids.view(np.uint64) * M1 >> np.uint64(33)).astype(np.int64) % groups
+            order = np.argsort(group, kind="stable")
+            starts, sizes = runs(group[order])
+            rows = [order[i : i + n] for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(group[order][starts], pa.int32()), pa.array([ids[r].astype("<i8").tobytes() for r in rows], pa.binary()), pa.array([keys[r].astype("<u8").tobytes() for r in rows], pa.binary())], names=["group", "ids", "keys"])
+
+
+def document_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document of a group: its shared buckets. Rows are sorted by group."""
+    for t in key_groups(batches, "group", rows=1):
+        ids = np.frombuffer(b"".join(t.column("ids").to_pylist()), "<i8")
+        keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), "<u8")
+        order = np.argsort(ids, kind="stable")
+        ids, keys = ids[order], keys[order]
+        starts, sizes = runs(ids)
+        for k in range(0, len(starts), 10_000):
+            s, n = starts[k : k + 10_000], sizes[k : k + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array([keys[i : i + m].tobytes() for i, m in zip(s.tolist(), n.tolist(), strict=True)], pa.binary())], names=["_id", "keys"])
 
 
 RUN_SCHEMA = "bucket long, run long, doc_id long, row long, span long"
@@ -202,7 +214,7 @@ def document_runs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
     for b in batches:
         for texts, doc_ids, rows, keys in chunks(b, "doc_id", "row", "keys"):
             text, first, n, bucket, starts, b50 = string_runs(texts)
-            shared = np.unique(np.frombuffer(b"".join(x for k in keys.to_pylist() for x in k), "<u8"))
+            shared = np.unique(np.frombuffer(b"".join(keys.to_pylist()), "<u8"))
             chosen = np.flatnonzero(np.isin(bucket >> down, shared))
             text, values = text[chosen], run_identifiers(starts[chosen], n[chosen], b50)
             yield pa.RecordBatch.from_arrays(
@@ -299,8 +311,8 @@ def without(data: bytes, removed: np.ndarray) -> tuple[bytes, int, int]:
 def shared_keys(rows: DataFrame, parts: int, tasks: int) -> DataFrame:
     """_id and keys, of each document that has shared buckets."""
     packed = rows.select("doc_id", "text").mapInArrow(lambda x: packed_buckets(x, parts), "part int, keys binary, of binary, ids binary")
-    shared = packed.repartition(min(parts, max(tasks, 16)), "part").sortWithinPartitions("part").mapInArrow(shared_buckets, "_id long, keys binary")
-    return materialize(shared.groupBy("_id").agg(F.collect_list("keys").alias("keys")), "keys")
+    shared = packed.repartition(min(parts, max(tasks, 16)), "part").sortWithinPartitions("part").mapInArrow(lambda x: shared_buckets(x, 4 * tasks), "group int, ids binary, keys binary")
+    return materialize(shared.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(document_keys, "_id long, keys binary"), "keys")
 
 
 def settled_runs(others: DataFrame, parts: int, tasks: int) -> DataFrame:
