@@ -41,8 +41,8 @@ class Rule:
 #: The production table: length, symbol, stop-word and line ratios.
 RULES = (
     Rule("words", "n_words", 10, 1_000_000),
-    Rule("word_length", "word_chars / n_words", 1.5, 18.0),
-    Rule("symbols_per_word", "n_symbols / n_words", None, 0.1),
+    Rule("word_length", "word_chars / nullif(n_words, 0)", 1.5, 18.0),
+    Rule("symbols_per_word", "n_symbols / nullif(n_words, 0)", None, 0.1),
     Rule("stop_word_ratio", "if(n_words >= 50, n_stop_words / n_words, NULL)", 0.005, None),
     Rule("duplicate_line_ratio", "n_dup_lines / nullif(n_lines, 0)", None, 0.5),
 )
