@@ -8,7 +8,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Topics, those that are always extracted, the signal that is enough, and the feedback that counts as positive.
 TOPICS = ("investment", "finance-econ", "geopolitics", "china-econ", "ai-tech", "other")
@@ -187,9 +186,6 @@ def search(articles: DataFrame, text: str, limit: int | None = None, columns: tu
     return out if limit is None else out.orderBy("score", "article_id").limit(limit)
 
 
-VERDICT = T.StructType.fromDDL("topic string, signal variant, extract_ideas variant, extract_lessons variant, confidence variant, rationale variant")
-
-
 def parse_verdicts(responses: DataFrame, column: str = "response") -> DataFrame:
     """responses with ok, topic, signal, extract_ideas, extract_lessons, confidence, rationale: an unknown topic is other and extracts nothing; numbers are clamped to 0..1."""
     v = F.try_parse_json(F.col(column))

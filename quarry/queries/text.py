@@ -13,12 +13,13 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
-TITLE = F.substring("text", 1, 60)
+def title():
+    return F.substring("text", 1, 60)
 
 
 @query("t01_slugify", r"SELECT doc_id, nullif(trim(regexp_replace(lower(strip_accents(substr(text, 1, 60))), '[^a-z0-9]+', '-', 'g'), '-'), '') AS slug FROM documents WHERE NOT contains(substr(text, 1, 60), 'ß')")
 def _(spark, d):
-    return docs(spark, d).where(~TITLE.contains("ß")).select("doc_id", T.slugify(TITLE).alias("slug"))
+    return docs(spark, d).where(~title().contains("ß")).select("doc_id", T.slugify(title()).alias("slug"))
 
 
 @query("t03_valid_slug", r"SELECT doc_id, regexp_full_match(split_part(text, ' ', 1), '[a-z0-9]+(?:-[a-z0-9]+)*') AS valid, CASE WHEN regexp_full_match(lower(split_part(text, ' ', 1)), '[a-z0-9]+(?:-[a-z0-9]+)*') THEN lower(split_part(text, ' ', 1)) END AS collapsed FROM documents WHERE NOT contains(split_part(text, ' ', 1), '-')")
