@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents
+from quarry.llm.common import documents, tidy
 
 FOLDS, HIDDEN, WINDOW, CONTEXT, BATCH = 5, 8, 184, 8, 2048
 TRAIN_DOCS, TRAIN_CHARS, STEPS, TRAIN_BATCH, TRAIN_WINDOW = 4000, 400, 240, 192, 40
@@ -213,7 +213,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 score[which] = p[np.arange(len(p)), best]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return documents(docs).mapInArrow(work, "doc_id long, lang_pred string, score double")
+    return documents(docs).mapInArrow(lambda batches: tidy(work(batches)), "doc_id long, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, size: int = TRAIN_DOCS) -> DataFrame:

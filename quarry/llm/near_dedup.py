@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, key_groups, materialize, runs, splitmix
+from quarry.llm.common import documents, key_groups, materialize, runs, splitmix, tidy
 from quarry.llm.components import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.array([simhash(t, shingle) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
-    return documents(docs).mapInArrow(work, "doc_id long, fp long")
+    return documents(docs).mapInArrow(lambda batches: tidy(work(batches)), "doc_id long, fp long")
 
 
 def blocks_for(n: int, bits: int) -> int:
@@ -183,7 +183,7 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS, hot: int = HOT) -> DataF
         dealt = tiled.select(F.explode(F.when(F.col("_tiles").isNull(), F.array("bucket")).otherwise(pairs)).alias("bucket"), "fp")
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     work = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return work.mapInArrow(lambda batches: linked(batches, bits, PIVOTS), "a long, b long")
+    return work.mapInArrow(lambda batches: tidy(linked(batches, bits, PIVOTS)), "a long, b long")
 
 
 def near_classes(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:

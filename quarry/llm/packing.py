@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import documents
+from quarry.llm.common import documents, tidy
 from quarry.llm.tokens import encoded, vocabulary
 
 POOL = 20_000
@@ -179,4 +179,4 @@ def packed(batches: Iterator[pa.RecordBatch], path: str, limits: Limits) -> Iter
 def pack_documents(docs: DataFrame, path: str | None = None, limits: Limits = Limits()) -> DataFrame:
     """One row per piece; see SCHEMA. sequence_id is unique: the partition's number and a count."""
     path = path or vocabulary()
-    return documents(docs).mapInArrow(lambda batches: packed(batches, path, limits), SCHEMA)
+    return documents(docs).mapInArrow(lambda batches: tidy(packed(batches, path, limits)), SCHEMA)

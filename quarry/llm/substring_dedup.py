@@ -33,10 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import bucketed, documents, input_bytes, key_groups, materialize, release, runs, splitmix
+from quarry.llm.common import bucketed, documents, input_bytes, key_groups, materialize, release, runs, splitmix, tidy
 
 LENGTH, Q = 50, 24
-PART_BYTES, CHUNK = 16 << 20, 1 << 19
+PART_BYTES, CHUNK = 16 << 20, 1 << 18
 MOST = (1 << 22) - 1  # strings of a run: 22 bits of a packed run
 BYTES = splitmix(256, 7)
 M1, M2, S = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
@@ -310,15 +310,15 @@ def without(data: bytes, removed: np.ndarray) -> tuple[bytes, int, int]:
 
 def shared_keys(rows: DataFrame, parts: int, tasks: int) -> DataFrame:
     """_id and keys, of each document that has shared buckets."""
-    packed = rows.select("doc_id", "text").mapInArrow(lambda x: packed_buckets(x, parts), "part int, keys binary, of binary, ids binary")
-    shared = packed.repartition(min(parts, max(tasks, 16)), "part").sortWithinPartitions("part").mapInArrow(lambda x: shared_buckets(x, 4 * tasks), "group int, ids binary, keys binary")
-    return materialize(shared.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(document_keys, "_id long, keys binary"), "keys")
+    packed = rows.select("doc_id", "text").mapInArrow(lambda x: tidy(packed_buckets(x, parts)), "part int, keys binary, of binary, ids binary")
+    shared = packed.repartition(min(parts, max(tasks, 16)), "part").sortWithinPartitions("part").mapInArrow(lambda x: tidy(shared_buckets(x, 4 * tasks)), "group int, ids binary, keys binary")
+    return materialize(shared.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(lambda x: tidy(document_keys(x)), "_id long, keys binary"), "keys")
 
 
 def settled_runs(others: DataFrame, parts: int, tasks: int) -> DataFrame:
     """_doc, _row and packed runs: done (wholly repeated) and todo (to look into)."""
-    found = others.select("doc_id", "row", "text", "keys").mapInArrow(lambda x: document_runs(x, parts), RUN_SCHEMA)
-    settled = found.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(refined, "_doc long, _row long, done array<long>, todo array<long>")
+    found = others.select("doc_id", "row", "text", "keys").mapInArrow(lambda x: tidy(document_runs(x, parts)), RUN_SCHEMA)
+    settled = found.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda x: tidy(refined(x)), "_doc long, _row long, done array<long>, todo array<long>")
     return materialize(gathered(settled, "done", "todo"), "runs")
 
 
@@ -331,8 +331,8 @@ def settled_strings(others: DataFrame, per_row: DataFrame, tasks: int) -> DataFr
     """_d, _r and the identifiers of repeated strings in open runs."""
     asked = per_row.where(F.size("todo") > 0)
     open_ = others.join(asked, same_row(others, asked)).select("doc_id", "row", "text", "todo")
-    strings = open_.mapInArrow(open_strings, "string long, doc_id long, row long")
-    later = strings.repartition(tasks, "string").sortWithinPartitions("string").mapInArrow(repeated_strings, "_doc long, _row long, strings array<long>")
+    strings = open_.mapInArrow(lambda x: tidy(open_strings(x)), "string long, doc_id long, row long")
+    later = strings.repartition(tasks, "string").sortWithinPartitions("string").mapInArrow(lambda x: tidy(repeated_strings(x)), "_doc long, _row long, strings array<long>")
     return materialize(gathered(later, "strings").withColumnsRenamed({"_doc": "_d", "_row": "_r"}), "strings")
 
 
@@ -390,7 +390,7 @@ def substring_dedup(docs: DataFrame, *keep: str, with_text: bool = False) -> Dat
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types)] + [b.column(c) for c in keep], names=names)
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(lambda x: tidy(work(x)), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, materialize
+from quarry.llm.common import documents, materialize, tidy
 from quarry.llm.tokens import encoded, vocabulary
 
 MAGIC, BLOCK, PERCENTILE, SEGMENT = b"QPF1", 512, 90, 1 << 20
@@ -147,7 +147,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 2, size
     rows = documents(docs)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(lambda batches: segments(batches, path, end_id, size), SEGMENT_SCHEMA), name)
+    return materialize(ordered.mapInArrow(lambda batches: tidy(segments(batches, path, end_id, size)), SEGMENT_SCHEMA), name)
 
 
 def read_documents(written: DataFrame) -> DataFrame:

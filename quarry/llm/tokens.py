@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 #: White space, one space, then white space or the end (RE2): the text is not cut at spaces.
 RUN = r"[\s\x0b\x1c-\x1f\x85\pZ] (?:[\s\x0b\x1c-\x1f\x85\pZ]|\z)"
-LIMIT = 400_000
+LIMIT = 150_000
 #: Up to here Unicode versions agree on what a letter is.
 LETTERS_BELOW = "ɐ"
 
