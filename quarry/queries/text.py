@@ -77,9 +77,18 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_text("html").alias("text"))
 
 
-@query("t28_content_kind", "SELECT page_id, CASE WHEN contains(lower(html), '<video') OR contains(lower(html), 'watch now') THEN 'video' WHEN contains(lower(html), '<audio') OR contains(lower(html), 'listen now') THEN 'podcast' ELSE 'article' END AS kind FROM pages")
+@query("t27_canonical_url", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://pub.substack.com/p/post-' || page_id WHEN 1 THEN 'https://open.substack.com/pub/pub/p/post-' || page_id WHEN 2 THEN 'https://www.example.com/p/post-' || page_id END AS url FROM pages")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", T.content_kind(F.col("html")).alias("kind"))
+    k, post = F.col("page_id") % 4, F.concat(F.lit("/p/post-"), F.col("page_id").cast("string"), F.lit("?x=1"))
+    html = F.concat(F.lit("<a href='"), F.when(k == 1, F.concat(F.lit("https://open.substack.com/pub/pub"), post)).when(k == 2, F.concat(F.lit("https://www.example.com"), post)).otherwise("https://www.example.com/q/other"), F.lit("'>"))
+    return table(spark, d, "pages").select("page_id", T.canonical_url(html, F.when(k == 0, F.concat(F.lit("see https://pub.substack.com"), post)).otherwise("")).alias("url"))
+
+
+@query("t28_content_kind", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'video' WHEN page_id % 3 = 1 THEN 'podcast' ELSE 'article' END AS kind FROM pages")
+def _(spark, d):
+    k = F.col("page_id") % 3
+    html = F.concat("html", F.when(k == 0, "<p>Watch on Substack audio-player").when(k == 1, "<b>AUDIO-player").otherwise("<script>var x='video-player'</script>"))
+    return table(spark, d, "pages").select("page_id", T.content_kind(html).alias("kind"))
 
 
 @query("t35_themed_summary", "SELECT doc_id, 'About ' || source || CASE WHEN doc_id % 2 = 0 THEN '. Themes: ' || lang || ', ' || source || '.' ELSE '.' END AS summary FROM documents")
