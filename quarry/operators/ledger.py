@@ -134,6 +134,11 @@ class Query:
         return ("term", len(self.terms) - 1)
 
 
+def _close(first: str, other: str, near: int) -> Column:
+    """Whether at has both words with at most near others between them."""
+    return F.exists("at", lambda x: (x["token"] == first) & F.exists("at", lambda y: (y["token"] == other) & (F.abs(y["place"] - x["place"]) <= near + 1)))
+
+
 def search(articles: DataFrame, text: str, limit: int | None = None, columns: tuple[str, ...] = ("title", "author", "body")) -> DataFrame:
     """article_id, score of the articles that match, by bm25 (lower is better); with a limit only the best."""
     q = Query(text)
@@ -153,7 +158,7 @@ def search(articles: DataFrame, text: str, limit: int | None = None, columns: tu
     for k, (column, words, prefix, near) in enumerate(q.terms):
         if near is not None and len(words) > 1:
             spots = posts.where(F.col("token").isin(words)).groupBy("article_id", "column").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("at"))
-            close = reduce(lambda a, b: a & b, [F.exists("at", lambda x, w=w: F.exists("at", lambda y, x=x, w=w: (y["token"] == w) & (F.abs(y["place"] - x["place"]) <= near + 1)) & (x["token"] == words[0])) for w in words[1:]])
+            close = reduce(lambda a, b: a & b, [_close(words[0], w, near) for w in words[1:]])
             hits = spots.where(close).select("article_id", F.lit(1).alias("n"))
         else:
             base = None
