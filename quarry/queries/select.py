@@ -69,11 +69,11 @@ def _(spark, d):
     return H.accounting(rows.withColumn("asked", F.array(F.lit("click"), F.lit("view"), F.lit("never"))))
 
 
-@query("h12_stage_outcomes", "SELECT user_id AS request, CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 THEN 'usable' WHEN max_by(event_type, event_id) = 'error' THEN 'output_truncation' WHEN max_by(event_type, event_id) = 'view' THEN 'input_estimation_miss' ELSE 'exhausted' END AS outcome, count(*) AS attempts, CASE WHEN count(k) = count(*) THEN CAST(sum(k) AS BIGINT) END AS input_tokens, CAST(sum(event_id % 9) AS BIGINT) AS output_tokens FROM (SELECT *, CASE WHEN event_id % 900 <> 0 THEN event_id % 13 END AS k FROM events WHERE event_type <> 'purchase' OR user_id % 2 = 0) GROUP BY user_id")
+@query("h12_stage_outcomes", "SELECT user_id AS request, CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 THEN 'usable' WHEN max_by(event_type, event_id) = 'error' THEN 'output_truncation' WHEN max_by(event_type, event_id) = 'view' THEN 'input_estimation_miss' ELSE 'exhausted' END AS outcome, count(*) AS attempts, CAST(CASE WHEN count(k) = count(*) THEN sum(k) END AS DOUBLE) AS input_tokens, CAST(sum(event_id % 9) AS BIGINT) AS output_tokens FROM (SELECT *, CASE WHEN event_id % 900 <> 0 THEN event_id % 13 END AS k FROM events WHERE event_type <> 'purchase' OR user_id % 2 = 0) GROUP BY user_id")
 def _(spark, d):
     e = table(spark, d, "events").where("event_type <> 'purchase' OR user_id % 2 = 0")
     kind = F.col("event_type")
-    return H.stage_outcomes(e.select(F.col("user_id").alias("request"), F.col("event_id").alias("attempt"), F.when(kind == "purchase", "usable").otherwise("unparseable").alias("class"), F.when(kind == "error", "length").when(kind == "view", "input").otherwise("stop").alias("stop"), F.when(F.col("event_id") % 900 != 0, F.col("event_id") % 13).alias("input_tokens"), (F.col("event_id") % 9).alias("output_tokens")))
+    return H.stage_outcomes(e.select(F.col("user_id").alias("request"), F.col("event_id").alias("attempt"), F.when(kind == "purchase", "usable").otherwise("unparseable").alias("class"), F.when(kind == "error", "length").when(kind == "view", "input").otherwise("stop").alias("stop"), F.when(F.col("event_id") % 900 != 0, F.col("event_id") % 13).alias("input_tokens"), (F.col("event_id") % 9).alias("output_tokens"))).withColumn("input_tokens", F.col("input_tokens").cast("double"))
 
 
 @query("h14_concordance", "SELECT source, round(len(list_intersect(list(doc_id ORDER BY n_chars, doc_id)[1:10], list(doc_id ORDER BY doc_id)[1:20])) / len(list(doc_id)[1:10]), 6) AS concordance FROM documents GROUP BY source")
