@@ -12,6 +12,11 @@ A bucket only has to find what is connected, so a member that joined a component
 passes, not a pass per pair. A bucket above HOT members is cut into tiles of members and each pair of tiles goes to a task of its own;
 no pair is dropped. Links leave as (member, least member of its component).
 
+near_dedup() also links texts whose sets of shingles have a Jaccard likeness of LIKE = 4/5 or more. Shingles are put in one order: those that a
+sample finds frequent last, else by digest. Sets of a and b shingles this alike share at least 4/5 of the larger, so that their first
+n - 4n/5 + l(n) in that order share l(min(a, b)) or more; pairs that do, and have different components, are verified on the whole sets. The
+path is exact but for equal digests.
+
 Defined results: a null or empty text has fingerprint zero, and such rows are linked like any other; fewer words than a shingle
 are one shingle; equal rows have equal fingerprints; a row whose doc_id is null gets the least doc_id of its component, if any; an empty table gives an
 empty table.
@@ -34,6 +39,7 @@ from quarry.llm.components import components
 SHINGLE, BITS, SEED = 4, 4, 42
 PIVOTS, HOT, CHUNK = 16, 8192, 1 << 16
 SMALL = 48
+LIKE, SAMPLE, OFTEN, MOST = (4, 5), 16, 4, 50_000
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -69,15 +75,17 @@ def simhash(text: str, shingle: int = SHINGLE) -> int:
     return int(((2 * counts > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of every row; a digest of its text in the column row, if that is named."""
+    texts, extra = documents(docs), [row] if row else []
+    texts = texts.withColumn(row, F.xxhash64("text")) if row else texts
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([simhash(t, shingle) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), *(b.column(c) for c in extra)], names=["doc_id", "fp", *extra])
 
-    return documents(docs).mapInArrow(lambda batches: tidy(work(batches)), "doc_id long, fp long")
+    return texts.mapInArrow(lambda batches: tidy(work(batches)), ", ".join(f"{c} long" for c in ["doc_id", "fp", *extra]))
 
 
 def blocks_for(n: int, bits: int) -> int:
@@ -168,6 +176,98 @@ def linked(batches: Iterator[pa.RecordBatch], bits: int, n_pivots: int) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
 
 
+def shingles(text: str, shingle: int) -> np.ndarray:
+    """The digests of a text's distinct shingles, in order."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    size, h = min(shingle, len(words)), xxhash.xxh64_intdigest
+    return np.unique(np.array([h(b" ".join(words[k : k + size]), SEED) for k in range(len(words) - size + 1)], np.uint64)) if words else np.zeros(0, np.uint64)
+
+
+def share(n: np.ndarray | int) -> np.ndarray | int:
+    """How many shingles sets this alike share at the least, if the smaller has n, among those that prefix() takes."""
+    return 1 + n // 20
+
+
+def prefix(ordered: np.ndarray) -> np.ndarray:
+    """The shingles of a set, in the common order, by which it is found."""
+    n = len(ordered)
+    return ordered[: n - -(-LIKE[0] * n // LIKE[1]) + share(n)] if n else ordered
+
+
+def frequent(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles that many texts have, by a sample; they decide on speed only, never on results."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), shingle).view(np.int64))], names=["token"])
+
+    sample = texts.where(F.pmod("row", F.lit(SAMPLE)) == 0).select("text").mapInArrow(lambda batches: tidy(work(batches)), "token long")
+    often = sample.groupBy("token").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count")).limit(MOST)
+    return np.sort(np.array([r.token for r in often.select("token").collect()], np.int64).view(np.uint64))
+
+
+def tokens(batches: Iterator[pa.RecordBatch], shingle: int, late: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle by which a text is found."""
+    for b in batches:
+        rows, labels = b.column("row").to_numpy(), b.column("label").to_numpy()
+        sets = [shingles(t.as_py(), shingle) for t in b.column("text")]
+        found = []
+        for s in sets:
+            last = np.isin(s, late)
+            found.append(prefix(np.r_[s[~last], s[last]]))
+        n = np.array([len(x) for x in found], np.int64)
+        size = np.array([len(x) for x in sets], np.int64)
+        token = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(token), *(pa.array(np.repeat(x, n)) for x in (rows, labels, size))], names=["token", "row", "label", "n"])
+
+
+def token_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of texts that share a token, from rows sorted by token: texts a < b, their components, the smaller size."""
+    for t in key_groups(batches, "token"):
+        token, row, label, n = (t.column(c).to_numpy() for c in ("token", "row", "label", "n"))
+        order = np.lexsort((row, token))
+        row, label, n = row[order], label[order], n[order]
+        starts, sizes = runs(token[order])
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(row)) - 1
+        ends = np.cumsum(left)
+        low = 0
+        while low < len(row):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + 16 * CHUNK, side="right")))
+            m = left[low:high]
+            i = np.repeat(np.arange(low, high), m)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            ok = (label[i] != label[j]) & (LIKE[1] * small >= LIKE[0] * large)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row[i[ok]], row[j[ok]], label[i[ok]], label[j[ok]], small[ok])], names=["a", "b", "la", "lb", "n"])
+            low = high
+
+
+def verified(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """Components of the pairs whose sets of shingles are alike."""
+    for b in batches:
+        ok = []
+        for x, y in zip(b.column("ta"), b.column("tb"), strict=True):
+            x, y = shingles(x.as_py(), shingle), shingles(y.as_py(), shingle)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(LIKE[1] * both >= LIKE[0] * (len(x) + len(y) - both))
+        yield b.select(["la", "lb"]).filter(pa.array(ok, pa.bool_())).rename_columns(["a", "b"])
+
+
+def alike_links(docs: DataFrame, labels: DataFrame, shingle: int) -> DataFrame:
+    """Links (a, b) between the components of texts (row, a digest of the text, and label) whose sets of shingles are alike."""
+    distinct = documents(docs).select(F.xxhash64("text").alias("row"), "text").dropDuplicates(["row"])
+    texts = materialize(distinct.join(labels.dropDuplicates(["row"]), "row"), "texts")
+    late, parts = frequent(texts, shingle), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = texts.mapInArrow(lambda batches: tidy(tokens(batches, shingle, late)), "token long, row long, label long, n long")
+    pairs = found.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(lambda batches: tidy(token_pairs(batches)), "a long, b long, la long, lb long, n long")
+    shared = pairs.groupBy("a", "b", "la", "lb", "n").count().where(F.col("count") >= 1 + F.floor(F.col("n") / 20)).drop("n", "count")
+    shared = materialize(shared, "pairs")
+    one = shared.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
+    both = one.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").select("la", "lb", "ta", "tb")
+    return both.mapInArrow(lambda batches: tidy(verified(batches, shingle)), "a long, b long")
+
+
 def fingerprint_links(fps: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
     """Links (a, b) among distinct fingerprints fp that connect exactly what pairs within bits connect."""
     n = fps.count()
@@ -186,20 +286,25 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS, hot: int = HOT) -> DataF
     return work.mapInArrow(lambda batches: tidy(linked(batches, bits, PIVOTS)), "a long, b long")
 
 
-def near_classes(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """doc_id, fp and component_id, the least doc_id that links reach, of every row."""
-    own = materialize(fingerprints(docs, shingle), "fingerprints")
+def near_classes(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, alike: bool = False) -> DataFrame:
+    """doc_id, fp and component_id, the least doc_id that links reach, of every row; alike also links by likeness of the shingles."""
+    own = materialize(fingerprints(docs, shingle, "row" if alike else None), "fingerprints")
     first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     labels = components(fingerprint_links(own.select("fp").distinct(), bits))
     of = first.join(labels, first["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     of = materialize(of, "classes")
+    if alike:
+        joined = components(alike_links(docs, own.select("row", "fp").join(of.select("fp", "label"), "fp").select("row", "label"), shingle))
+        joined = joined.select("node", F.col("label").alias("_label"))
+        of = of.join(joined, of["label"] == joined["node"], "left").select("fp", "first", F.coalesce("_label", "label").alias("label"))
+        of = materialize(of, "classes")
     least = of.groupBy("label").agg(F.min("first").alias("component_id"))
     classes = of.join(least, "label").select(F.col("fp").alias("_fp"), "component_id")
     return own.join(classes, own["fp"] == classes["_fp"]).select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, bits: int = BITS) -> DataFrame:
-    """The rows of docs that have the least doc_id of their class; rows that repeat a doc_id of one stay, rows without a doc_id too."""
-    classes = near_classes(docs, shingle, bits)
+    """The rows of docs that have the least doc_id of their class, by bits or likeness; rows that repeat a doc_id of one stay, rows without a doc_id too."""
+    classes = near_classes(docs, shingle, bits, alike=True)
     gone = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

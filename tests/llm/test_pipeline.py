@@ -37,3 +37,40 @@ def test_queries_are_registered():
 
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_near_stage_takes_every_likeness_from_four_fifths(spark):
+    import random
+
+    rng = random.Random(8)
+    rows, sets = [], {}
+    for k in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 400))]
+        for copy in range(3):
+            changed = list(words)
+            for _ in range(copy * rng.randint(1, max(1, len(words) // 80))):
+                changed[rng.randrange(len(words))] = f"x{rng.randrange(3000)}"
+            rows.append((len(rows), " ".join(changed)))
+    rows += [(len(rows), "a few words"), (len(rows) + 1, "A  few words"), (len(rows) + 2, "")]
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    fp = {i: brute_simhash(t, 5) for i, t in rows}
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    missed = 0
+    for i in root:
+        for j in range(i):
+            alike = bool(sets[i]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            bits = (fp[i] ^ fp[j]).bit_count() <= 4
+            missed += alike and not bits
+            if alike or bits:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    out = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert missed > 20 and {r.doc_id for r in out.collect()} == {i for i in root if find(i) == i}
