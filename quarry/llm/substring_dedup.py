@@ -37,6 +37,7 @@ from quarry.llm.common import bucketed, documents, input_bytes, key_groups, mate
 
 LENGTH, Q = 50, 24
 PART_BYTES, CHUNK = 16 << 20, 1 << 18
+DOCS, ROWS = 60_000, 5_000  # documents of a group and rows of a chunk: together under the 65,536 that 16 bits number
 MOST = (1 << 22) - 1  # strings of a run: 22 bits of a packed run
 BYTES = splitmix(256, 7)
 M1, M2, S = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
@@ -113,12 +114,12 @@ def run_identifiers(starts: np.ndarray, n: np.ndarray, b50: np.ndarray) -> np.nd
 
 
 def chunks(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
-    """Rows of a batch with their texts as bytes, a few hundred kB at a time; columns follow as slices."""
+    """Rows of a batch with their texts as bytes, a few hundred kB and ROWS rows at a time; columns follow as slices."""
     text, start, held, size = batch.column("text"), 0, [], 0
     for k in range(batch.num_rows):
         held.append(text[k].as_py().encode("utf-8", "surrogatepass"))
         size += len(held[-1])
-        if size >= CHUNK or k + 1 == batch.num_rows:
+        if size >= CHUNK or len(held) == ROWS or k + 1 == batch.num_rows:
             yield held, *(batch.column(c).slice(start, len(held)) for c in columns)
             start, held, size = k + 1, [], 0
 
@@ -164,7 +165,7 @@ def packed_buckets(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa
             whose.append((text[new] + len(ids)).astype(np.uint16))
             ids += doc_ids.fill_null(0).to_pylist()
             size += sum(map(len, texts))
-            if size >= 2 * PART_BYTES or len(ids) > 60_000:
+            if size >= 2 * PART_BYTES or len(ids) > DOCS:
                 yield out()
                 size = 0
     if ids:

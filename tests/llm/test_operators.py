@@ -361,3 +361,11 @@ def test_lines(spark, odd, nothing, monkeypatch):
     assert line_dedup.line_dedup(odd).count() == 10 and line_dedup.line_dedup(nothing).count() == 0
     urls = spark.createDataFrame([("http://U@Www.Example.com:80/x",), ("no url",)], "u string").select(line_dedup.host_of(F.col("u")).alias("h")).collect()
     assert [r.h for r in urls] == ["www.example.com", None]
+
+
+def test_substring_dedup_of_many_short_rows(spark):
+    passage = " ".join(f"shared{k}" for k in range(20))
+    rows = [(k, passage if k in (5, 66_000) else "short") for k in range(70_000)]
+    df = spark.createDataFrame(pa.table({"doc_id": pa.array([k for k, _ in rows], pa.int64()), "text": [t for _, t in rows]})).coalesce(1)
+    out = substring_dedup.substring_dedup(df)
+    assert [(r.doc_id, r.n_removed) for r in out.where("n_removed > 0").collect()] == [(66_000, len(passage))]
