@@ -19,20 +19,20 @@ def title():
 
 @query("t01_slugify", r"SELECT doc_id, nullif(trim(regexp_replace(lower(strip_accents(substr(text, 1, 60))), '[^a-z0-9]+', '-', 'g'), '-'), '') AS slug FROM documents WHERE NOT contains(substr(text, 1, 60), 'ß')")
 def _(spark, d):
-    return docs(spark, d).where(~title().contains("ß")).select("doc_id", T.slugify(title()).alias("slug"))
+    return docs(spark, d).select("doc_id", T.slugify(title()).alias("slug"))
 
 
 @query("t03_valid_slug", r"SELECT doc_id, regexp_full_match(split_part(text, ' ', 1), '[a-z0-9]+(?:-[a-z0-9]+)*') AS valid, CASE WHEN regexp_full_match(lower(split_part(text, ' ', 1)), '[a-z0-9]+(?:-[a-z0-9]+)*') THEN lower(split_part(text, ' ', 1)) END AS collapsed FROM documents WHERE NOT contains(split_part(text, ' ', 1), '-')")
 def _(spark, d):
     first = F.split_part("text", F.lit(" "), F.lit(1))
-    return docs(spark, d).where(~first.contains("-")).select("doc_id", T.is_slug(first).alias("valid"), T.collapse_slug(first).alias("collapsed"))
+    return docs(spark, d).select("doc_id", T.is_slug(first).alias("valid"), T.collapse_slug(first).alias("collapsed"))
 
 
 @query("t07_wikilinks", r"""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(regexp_replace(body, '`[^`\n]*`', '', 'g'), '\[\[([a-z0-9]+(?:-[a-z0-9]+)*)(?:#[^|\]]*)?(?:\|[^\]]*)?\]\]', 1))) AS slugs
   FROM (SELECT doc_id, substr(text, 1, 200) || ' [[page-' || (doc_id % 7) || '|shown]] [[Not A Slug]] `[[in-code]]` [[page-x#part]] [[page-' || (doc_id % 7) || ']]' AS body FROM documents)""")
 def _(spark, d):
     k = (F.col("doc_id") % 7).cast("string")
-    body = F.concat(F.substring("text", 1, 200), F.lit(" [[page-"), k, F.lit("|shown]] [[Not A Slug]] `[[in-code]]` [[page-x#part]] [[page-"), k, F.lit("]]"))
+    body = F.concat("text", F.lit(" [[page-"), k, F.lit("|shown]] [[Not A Slug]] `[[in-code]]` [[page-x#part]] [[page-"), k, F.lit("]]"))
     return docs(spark, d).select("doc_id", T.wikilinks(body).alias("slugs"))
 
 
@@ -43,7 +43,7 @@ def _(spark, d):
 
 @query("t20_paragraph_rows", "SELECT doc_id, 'p' || lpad(CAST(k AS VARCHAR), 4, '0') AS paragraph_id, md5(p) AS digest FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents WHERE source = 'src3'))")
 def _(spark, d):
-    rows = docs(spark, d).where("source = 'src3'").select("doc_id", F.posexplode(T.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("k", "p"))
+    rows = docs(spark, d).select("doc_id", F.posexplode(T.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("k", "p"))
     return rows.select("doc_id", T.paragraph_id(F.col("k")).alias("paragraph_id"), F.md5(F.col("p").cast("binary")).alias("digest"))
 
 
