@@ -195,7 +195,7 @@ def _(spark, d):
 @query("d03_hub_rank")
 def _(spark, d):
     g = graph_view(spark, d)
-    scores = A.pagerank(g.entity, g.links, rounds=8).select("slug", F.round("score", 9).alias("score"))
+    scores = A.pagerank(g.entity, g.links, tolerance=1e-12, rounds=100).select("slug", F.round("score", 9).alias("score"))
     return A.hub_rank(scores)
 
 
@@ -235,7 +235,7 @@ def _(spark, d):
     g = graph_view(spark, d)
     labels = A.components(g.entity, g.links)
     largest = labels.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1)
-    return A.layout(labels.join(largest, "component", "left_semi").select("slug"), g.links, ticks=50)
+    return A.layout(labels.join(largest, "component", "left_semi").select("slug"), g.links)
 
 
 @query(
