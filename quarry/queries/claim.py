@@ -24,7 +24,7 @@ def tables(spark, d):
     text = lambda p, x: F.concat(F.lit(p), x.cast("string"))
     base = o.select("o_custkey", "o_orderkey", text("s", F.col("o_custkey") % 40).alias("subject"), F.col("o_orderpriority").alias("predicate"), F.array().cast("array<string>").alias("scope"), text("part-", k % 9).alias("object"), text("q", k % 3).alias("qualifier"), "o_orderstatus")
     claims = base.where("o_custkey % 3 = 0").select(text("c", k).alias("claim_id"), "subject", "predicate", "scope", F.when(k % 2 == 0, "pos").otherwise("neg").alias("polarity"), F.array("object").alias("objects"), "qualifier", F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "F", "superseded").otherwise("retracted").alias("state"), k.alias("version"))
-    cand = base.where("o_custkey % 3 = 1").select(k.alias("candidate_id"), "subject", "predicate", "scope", F.lit("pos").alias("polarity"), "object", "qualifier", (k % 5 == 0).alias("refines"))
+    cand = base.where("o_custkey % 3 <> 0").select(k.alias("candidate_id"), "subject", "predicate", "scope", F.lit("pos").alias("polarity"), "object", "qualifier", (k % 5 == 0).alias("refines"))
     links = graph_view(spark, d).links
     return cand, claims, links
 
