@@ -1,14 +1,14 @@
-"""Packing by vector bin packing with the dot-product heuristic.
+"""Packing of instruction data by vector bin packing with the dot-product heuristic.
 
-Items have a vector of demands: tokens, segments (one each) and loss-bearing tokens. A sequence is open at a time; the item
-with the largest dot product of its demands and what the sequence has left, both as shares of the limits, enters next, as long as it fits.
-If none fits, the largest item is cut to what is left. Only the last sequence of a partition can stay short.
+Items have a vector of demands: tokens, segments (one each) and loss-bearing tokens (responses; prompts bear no loss). A sequence is open
+at a time; the item with the largest dot product of its demands and what the sequence has left, both as shares of the limits, enters next, as long
+as it fits in every dimension. If none fits, the item of which the longest beginning fits is cut there.
 
-Every partition of documents packs on its own, so nothing is shuffled and no group meets in one task. A partition keeps
-piece descriptions (not ids) of at most POOL items, then packs them: memory is bounded however many documents it has.
+Every partition packs on its own, so no text is shuffled and no group meets in one task. A partition holds POOL items with their ids at most,
+however many it has in all. The last sequence of a partition may be short; those of TAILS partitions are packed once more, together.
 
 Defined results: a null or empty text is the end id alone; an empty table gives an empty table; repeated rows are packed as
-rows of their own; a document longer than a sequence is cut; a null doc_id is kept.
+rows of their own; an example longer than a sequence is cut; a null doc_id is kept; equal demands: the item that came last enters first.
 """
 
 from __future__ import annotations
@@ -17,166 +17,236 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, tidy
-from quarry.llm.tokens import encoded, vocabulary
+from quarry.llm.common import documents, key_groups, materialize, tidy
+from quarry.llm.tokens import encoded, encoder, vocabulary
 
-POOL = 20_000
+POOL, TAILS = 4_000, 64
 END = b"\0\0\0\0"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, segment long"
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 @dataclass(frozen=True)
 class Limits:
+    """Of a sequence. Fewer loss-bearing tokens than tokens: a part is kept for prompts, so that sequences weigh alike in the loss."""
+
     tokens: int = 1024
-    segments: int = 128
-    loss_tokens: int = 1024
+    segments: int = 8
+    loss_tokens: int = 1008
+
+
+class Item(NamedTuple):
+    """Ids of a document from start on, and which places of the document bear loss: a tuple of (from, to)."""
+
+    doc_id: int | None
+    doc_tokens: int
+    start: int
+    data: bytes
+    spans: tuple
+
+    @property
+    def tokens(self) -> int:
+        return len(self.data) // 4
+
+    @property
+    def loss(self) -> int:
+        end = self.start + self.tokens
+        return sum(max(0, min(end, j) - max(self.start, i)) for i, j in self.spans)
+
+    @property
+    def lead(self) -> int:
+        """Ids before the first that bears loss."""
+        return min([self.tokens, *(max(0, i - self.start) for i, j in self.spans if j > self.start)])
+
+    def cut(self, n: int) -> tuple[Item, Item]:
+        return self._replace(data=self.data[: 4 * n]), self._replace(start=self.start + n, data=self.data[4 * n :])
 
 
 class Pool:
-    """Items by (tokens, loss-bearing tokens); a class is as good as another item of it."""
+    """Items by class (tokens, loss-bearing tokens, lead); an item of a class is as good as another."""
 
-    def __init__(self, limits: Limits):
-        self.limits = limits
-        self.items: dict[tuple[int, int], list] = defaultdict(list)
+    def __init__(self, limits: Limits, items: list[Item]):
         self.scale = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
-        self.keys = np.zeros((0, 3))
-        self.size = 0
+        self.items: dict[tuple[int, int, int], list[Item]] = defaultdict(list)
+        for x in items:
+            self.items[x.tokens, x.loss, x.lead].append(x)
+        self.size = len(items)
+        self.keys = np.array(sorted(self.items), np.int64).reshape(-1, 3)
+        self.demands()
 
-    def add(self, tokens: int, loss: int, item) -> None:
-        self.items[tokens, loss].append(item)
-        self.size += 1
-
-    def freeze(self) -> None:
-        self.keys = np.array(sorted((t, 1, s) for (t, s), v in self.items.items() if v), float).reshape(-1, 3)
+    def demands(self) -> None:
+        self.needs = np.column_stack([self.keys[:, 0], np.ones(len(self.keys)), self.keys[:, 1]])
 
-    def best(self, left: np.ndarray) -> tuple[int, int] | None:
+    def best(self, left: np.ndarray) -> tuple[int, int, int] | None:
         """The class that fits with the largest dot product with what is left, as shares of the limits; ties: more tokens."""
-        fits = (self.keys <= left).all(axis=1)
+        fits = (self.needs <= left).all(axis=1)
         if not fits.any():
             return None
-        score = np.where(fits, self.keys @ (left / self.scale**2), -1.0)
-        t, _, s = self.keys[len(score) - 1 - int(np.argmax(score[::-1]))]
-        return int(t), int(s)
+        score = np.where(fits, np.round(self.needs @ (left / self.scale**2), 12), -1.0)
+        return tuple(self.keys[len(score) - 1 - int(np.argmax(score[::-1]))].tolist())
 
-    def take(self, key: tuple[int, int]):
+    def longest(self, left: np.ndarray) -> tuple[tuple[int, int, int], int]:
+        """The class of whose items the longest beginning fits, and its length (0: none)."""
+        fit = np.minimum(self.keys[:, 0], np.minimum(left[0], self.keys[:, 2] + left[2]))
+        at = len(fit) - 1 - int(np.argmax(fit[::-1]))
+        return tuple(self.keys[at].tolist()), int(fit[at])
+
+    def take(self, key: tuple[int, int, int]) -> Item:
         item = self.items[key].pop()
         self.size -= 1
         if not self.items[key]:
             del self.items[key]
-            at = np.flatnonzero((self.keys[:, 0] == key[0]) & (self.keys[:, 2] == key[1]))
-            self.keys = np.delete(self.keys, at, axis=0)
+            self.keys = self.keys[(self.keys != key).any(axis=1)]
+            self.demands()
         return item
 
-    def put(self, tokens: int, loss: int, item) -> None:
-        new = (tokens, loss) not in self.items
-        self.add(tokens, loss, item)
-        if new:
-            at = int(np.searchsorted(self.keys[:, 0], tokens))
-            self.keys = np.insert(self.keys, at, (tokens, 1, loss), axis=0)
-
+    def put(self, item: Item) -> None:
+        key = item.tokens, item.loss, item.lead
+        if key not in self.items:
+            self.keys = np.insert(self.keys, int(np.searchsorted(self.keys[:, 0], key[0])), key, axis=0)
+            self.demands()
+        self.items[key].append(item)
+        self.size += 1
 
-def pack(items: list[tuple[int, int, object]], limits: Limits, cut=None) -> list[list[tuple[object, int]]]:
-    """Sequences of (item, tokens) from (tokens, loss-bearing tokens, item); no item may exceed the limits.
 
-    cut(item, n) gives the item's first n tokens and the rest, each as (tokens, loss, item); without it items stay whole.
-    """
-    pool = Pool(limits)
-    for tokens, loss, item in items:
-        if tokens > limits.tokens or loss > limits.loss_tokens:
-            raise ValueError("an item exceeds the limits")
-        pool.add(tokens, loss, item)
-    pool.freeze()
-    out = []
+def pack(items: list[Item], limits: Limits, whole: bool = False) -> list[list[Item]]:
+    """Sequences of items, or of pieces of them; whole items are not cut, and none may then exceed the limits."""
+    pool, out = Pool(limits, items), []
     while pool.size:
         left, sequence = pool.scale.copy(), []
         while left[0] > 0 and left[1] > 0 and pool.size:
             key = pool.best(left)
-            if key is None:
-                if cut is None:
-                    break
-                tokens, _, loss = map(int, pool.keys[-1])
-                n = int(left[0])
-                if tokens <= n:  # only the loss-bearing tokens exceed what is left
-                    break
-                first, rest = cut(pool.items[tokens, loss][-1], n)
-                if first[1] > left[2]:
-                    break
-                pool.take((tokens, loss))
-                pool.put(*rest)
-                sequence.append((first[2], first[0]))
-                left -= (first[0], 1, first[1])
+            if key:
+                piece = pool.take(key)
             else:
-                sequence.append((pool.take(key), key[0]))
-                left -= (key[0], 1, key[1])
+                key, n = pool.longest(left)
+                if whole or not n:
+                    break
+                piece, rest = pool.take(key).cut(n)
+                pool.put(rest)
+            sequence.append(piece)
+            left -= (piece.tokens, 1, piece.loss)
+        if not sequence:
+            raise ValueError("an item exceeds the limits")
         out.append(sequence)
     return out
 
 
-def packed(batches: Iterator[pa.RecordBatch], path: str, limits: Limits) -> Iterator[pa.RecordBatch]:
-    """Pieces of the documents of a partition, sequence by sequence."""
-    base, sequences = TaskContext.get().partitionId() << 33, 0
-    full = min(limits.tokens, limits.loss_tokens)
+def document_items(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[Item]:
+    """Documents: the first line is the prompt, if more follows; the rest and the end id bear loss."""
+    size = encoder(path).sizes
+    for b in batches:
+        for part, ids, offsets in encoded(b, path):
+            at = np.r_[0, np.cumsum(size[ids])]
+            for doc_id, text, i, j in zip(part.column("doc_id").to_pylist(), part.column("text"), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                line = text.as_buffer().to_pybytes().find(b"\n") + 1
+                prompt = int(np.searchsorted(at[i : j + 1], at[i] + line)) if line else 0
+                yield Item(doc_id, j - i + 1, 0, ids[i:j].tobytes() + END, ((prompt, j - i + 1),))
+
+
+def conversation_items(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[Item]:
+    """Conversations, from turns sorted by doc_id and turn: each turn ends with the end id; the assistant's turns bear loss."""
+    held, key, spans, n = [], None, [], 0
+    for b in batches:
+        for part, ids, offsets in encoded(b, path):
+            for doc_id, role, i, j in zip(part.column("doc_id").to_pylist(), part.column("role").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                if held and doc_id != key:
+                    yield Item(key, n, 0, b"".join(held), tuple(spans))
+                    held, spans, n = [], [], 0
+                key = doc_id
+                held.append(ids[i:j].tobytes() + END)
+                spans += [(n, n + j - i + 1)] * (role == "assistant")
+                n += j - i + 1
+    if held:
+        yield Item(key, n, 0, b"".join(held), tuple(spans))
+
+
+def rows_of(sequence: list[Item], sequence_id: int) -> Iterator[tuple]:
+    offset = 0
+    for k, x in enumerate(sequence):
+        yield x.doc_id, x.start, x.tokens, zlib.crc32(x.data), x.doc_tokens, sequence_id, offset, x.loss, k
+        offset += x.tokens
+
+
+def table(rows: list[tuple], tails: list[tuple[int, Item]] | None = None) -> pa.RecordBatch:
+    """Rows of pieces; with tails (group, item) also their ids and spans, to be packed again."""
+    cols = [pa.array(c, pa.int64()) for c in zip(*rows, *[(x.doc_id, x.start, x.tokens, 0, x.doc_tokens, g, 0, 0, 0) for g, x in tails or []], strict=True)] or [pa.array([], pa.int64())] * 9
+    if tails is not None:
+        none = [None] * len(rows)
+        cols += [pa.array([*none, *(x.data for _, x in tails)], pa.binary()), pa.array([*none, *([k for s in x.spans for k in s] for _, x in tails)], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(cols, names=[*NAMES, "_ids", "_spans"][: len(cols)])
+
+
+def packed(items: Iterator[Item], limits: Limits) -> Iterator[pa.RecordBatch]:
+    """Pieces of the items of a partition, sequence by sequence; those of its last, short one as tails."""
+    partition, sequences = TaskContext.get().partitionId(), 0
     rows: list[tuple] = []
-    rests: list[tuple[int, int, tuple]] = []
+    rests: list[Item] = []
+
+    def put(sequence: list[Item]) -> None:
+        nonlocal sequences
+        rows.extend(rows_of(sequence, (partition << 33) + sequences))
+        sequences += 1
+
+    def flush() -> None:
+        nonlocal rests
+        done, rests = pack(rests, limits), []
+        if done and sum(x.tokens for x in done[-1]) < limits.tokens:  # it may still be filled
+            rests = done.pop()
+        for sequence in done:
+            put(sequence)
 
-    def loss_of(doc: tuple, start: int, n: int) -> int:
-        """The end id bears no loss."""
-        return n - (start + n == doc[1])
+    for item in items:
+        while item.tokens > limits.tokens or item.loss > limits.loss_tokens:
+            first, item = item.cut(min(item.tokens, limits.tokens, item.lead + limits.loss_tokens))
+            if first.tokens == limits.tokens:
+                put([first])
+            else:
+                rests.append(first)
+        rests.append(item)
+        if len(rests) >= POOL:
+            flush()
+        if len(rows) >= 10_000:
+            yield table(rows, [])
+            rows.clear()
+    if rests:
+        flush()
+    yield table(rows, [(partition // TAILS, x) for x in rests])
 
-    def piece(doc: tuple, data: bytes, start: int, n: int, sequence: int, offset: int, segment: int) -> tuple:
-        return doc[0], start, n, zlib.crc32(data), doc[1], base + sequence, offset, loss_of(doc, start, n), segment
 
-    def cut(item: tuple, n: int):
-        doc, data, start = item
-        m = len(data) // 4 - n
-        return (n, loss_of(doc, start, n), (doc, data[: 4 * n], start)), (m, loss_of(doc, start + n, m), (doc, data[4 * n :], start + n))
+def repacked(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.RecordBatch]:
+    """Pieces of the tails of a group of partitions, from rows sorted by group."""
+    for t in key_groups(batches, "sequence_id", rows=1):
+        for group in sorted(set(t.column("sequence_id").to_pylist())):
+            items = [Item(r["doc_id"], r["doc_tokens"], r["start"], r["_ids"], tuple(zip(r["_spans"][::2], r["_spans"][1::2], strict=True))) for r in t.to_pylist() if r["sequence_id"] == group]
+            sequences = pack(items, limits)
+            yield table([r for k, s in enumerate(sequences) for r in rows_of(s, (1 << 62) + (group << 33) + k)])
 
-    def flush(last: bool):
-        nonlocal sequences, rests
-        done, rests = pack(rests, limits, cut), []
-        if not last and done and sum(n for _, n in done[-1]) < limits.tokens:  # it may still be filled
-            rests = [(n, loss_of(item[0], item[2], n), item) for item, n in done.pop()]
-        for sequence in done:
-            offset = 0
-            for k, ((doc, data, start), n) in enumerate(sequence):
-                rows.append(piece(doc, data, start, n, sequences, offset, k))
-                offset += n
-            sequences += 1
-
-    def batch() -> pa.RecordBatch:
-        types = [pa.int64()] * 9
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
-        rows.clear()
-        return out
 
-    for b in batches:
-        for doc_ids, ids, offsets in encoded(b, path):
-            for doc_id, i, j in zip(doc_ids, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                data = ids[i:j].tobytes() + END
-                n = len(data) // 4
-                doc, start = (doc_id, n), 0
-                while n - start >= full:
-                    rows.append(piece(doc, data[4 * start : 4 * (start + full)], start, full, sequences, 0, 0))
-                    start, sequences = start + full, sequences + 1
-                if start < n:
-                    rests.append((n - start, loss_of(doc, start, n - start), (doc, data[4 * start :], start)))
-            if len(rests) >= POOL:
-                flush(False)
-        if len(rows) >= 10_000:
-            yield batch()
-    while rests:
-        flush(True)
-    if rows:
-        yield batch()
+def pack_rows(rows: DataFrame, items, limits: Limits) -> DataFrame:
+    """One row per piece of the items that items(batches) makes of each partition's rows; sequence_id is unique. See SCHEMA."""
+    first = materialize(rows.mapInArrow(lambda batches: tidy(packed(items(batches), limits)), SCHEMA + ", _ids binary, _spans array<long>"), "packed")
+    tails = first.where("_ids IS NOT NULL").repartition("sequence_id").sortWithinPartitions("sequence_id", "doc_id", "start", "doc_tokens", "_ids")
+    return first.where("_ids IS NULL").select(*NAMES).union(tails.mapInArrow(lambda batches: tidy(repacked(batches, limits)), SCHEMA))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, limits: Limits = Limits()) -> DataFrame:
-    """One row per piece; see SCHEMA. sequence_id is unique: the partition's number and a count."""
+    """Pieces of documents (doc_id, text); see document_items()."""
+    path = path or vocabulary()
+    return pack_rows(documents(docs), lambda batches: document_items(batches, path), limits)
+
+
+def pack_conversations(turns: DataFrame, path: str | None = None, limits: Limits = Limits()) -> DataFrame:
+    """Pieces of conversations (conv_id, turn, role, text), conv_id as doc_id; see conversation_items()."""
     path = path or vocabulary()
-    return documents(docs).mapInArrow(lambda batches: tidy(packed(batches, path, limits)), SCHEMA)
+    rows = documents(turns.select(F.col("conv_id").alias("doc_id"), "turn", "role", "text"), "turn", "role").where("doc_id IS NOT NULL")
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "turn", "role", "text")
+    return pack_rows(rows, lambda batches: conversation_items(batches, path), limits)

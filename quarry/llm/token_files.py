@@ -129,8 +129,8 @@ def segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: in
         return out
 
     for b in batches:
-        for ids_of, ids, offsets in encoded(b, path):
-            for doc_id, i, j in zip(ids_of, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        for rows, ids, offsets in encoded(b, path):
+            for doc_id, i, j in zip(rows.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 doc_ids.append(NO_ID if doc_id is None else doc_id)
                 counts.append(j - i + 1)
                 held += [ids[i:j], end]

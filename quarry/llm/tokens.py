@@ -40,6 +40,8 @@ class Encoder:
         self.letters = byte_letters()
         self.limit, self.cache, self.older = limit, {}, {}
         self.ends = {c: self.whole(c) for c in ".,"}
+        #: Bytes of each id.
+        self.sizes = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.tokenizer.get_vocab_size())], np.int64)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -101,10 +103,10 @@ def encoder(path: str) -> Encoder:
 
 
 def encoded(batch: pa.RecordBatch, path: str, rows: int = 4096):
-    """Slices of a batch with doc_id and text: doc_ids, ids, offsets."""
+    """Slices of a batch with text, and the ids and offsets of their texts."""
     for k in range(0, batch.num_rows, rows):
         part = batch.slice(k, rows)
-        yield part.column("doc_id").to_pylist(), *encoder(path).encode(part.column("text"))
+        yield part, *encoder(path).encode(part.column("text"))
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
