@@ -3,12 +3,14 @@
 Groups, largest first, enter the shard with the tightest room that holds them, found in a balanced tree of rooms. The capacity is
 the smallest (by bisection) at which best-fit-decreasing needs no more shards than there are: sizes come out near equal.
 
-Only groups over GRAIN of a shard are placed one by one (there are at most shards / GRAIN of them); all smaller groups are first
-bundled by the digest of their text into a fixed number of bundles. So the driver places a bounded number of items however
-many documents there are, groups stay whole, and the placement is a small table. Sizes are pre-aggregated per group, with map-side combine.
+Groups of one size are a class and differ in nothing that best-fit-decreasing looks at: it fills the tightest shard with as many as fit, then the
+next. So the driver gets the number of groups of each size, places classes, and gives back for each how many go to which shards; groups are
+numbered within their class on the executors. Distinct sizes are few: n of them need n * n / 2 bytes of text at the least (at most
+250,000 for 30 GB, 14 million for 100 TB, if nearly every text had a length of its own).
 
 Defined results: a null text counts as an empty one; an empty table gives an empty table; repeated rows are rows of their own in
-the shard of their text; a group larger than a fair share has a shard to itself, which then exceeds the others.
+the shard of their text; a group larger than a fair share has a shard to itself, which then exceeds the others; equal sizes: groups in the order of
+their numbers, which follow a digest of the text.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import documents, materialize, shuffle_partitions
 
-GRAIN, BUNDLES = 1 / 200, 8_000
 OVERHEAD = 16
 
 
@@ -67,51 +68,72 @@ class Rooms:
         return node[0]
 
 
-def best_fit_decreasing(items: list[tuple[int, object]], capacity: int) -> tuple[dict, int]:
-    """Bins by item, and their number: items (size, key) from the largest on; an item over capacity has a bin of its own."""
-    rooms, placed, n = Rooms(), {}, 0
-    for size, key in sorted(items, key=lambda x: (-x[0], str(x[1]))):
-        found = rooms.take(size)
-        room, bin_ = found or (max(capacity, size), n)
-        n += found is None
-        placed[key] = bin_
-        rooms.add(room - size, bin_)
-    return placed, n
-
-
-def fewest_bytes(items: list[tuple[int, object]], bins: int) -> dict:
-    """Placement into at most bins bins at the least capacity that bisection finds."""
-    total, largest = sum(s for s, _ in items), max((s for s, _ in items), default=0)
-    low, high = 0, 2 * max(1, -(-total // max(1, bins))) + largest  # best-fit-decreasing leaves no two bins under half full
-    best, _ = best_fit_decreasing(items, high)
-    trial = total * 1001 // (1000 * max(1, bins)) + 1
-    while low + 1 < high and high - low > max(1, high // 20_000):
-        placed, n = best_fit_decreasing(items, trial)
-        if n <= bins:
-            best, high = placed, trial
-        else:
-            low = trial
-        trial = min((low + high) // 2, low + max(1, high // 500))
+def best_fit_decreasing(classes: list[tuple[int, int]], capacity: int, bins: int) -> list[list[tuple[int, int]]] | None:
+    """Of each class (size, number of groups), from the largest size on: (how many, bin) in turn; None if that takes more than bins.
+
+    A group over capacity has a bin of its own.
+    """
+    rooms, placed, n = Rooms(), [], 0
+    for size, count in classes:
+        put = []
+        while count:
+            found = rooms.take(size)
+            if found is None and n == bins:
+                return None
+            room, bin_ = found or (max(capacity, size), n)
+            n += found is None
+            m = min(count, room // size)
+            put.append((m, bin_))
+            count -= m
+            rooms.add(room - m * size, bin_)
+        placed.append(put)
+    return placed
+
+
+def fair_share(classes: list[tuple[int, int]], bins: int) -> int:
+    """The least capacity that could do: groups over a fair share of what is left have a bin each."""
+    total, left = sum(s * c for s, c in classes), bins
+    for size, count in classes:
+        for _ in range(count):
+            if left < 2 or size * left <= total:
+                return -(-total // left)
+            total, left = total - size, left - 1
+    return 1
+
+
+def fewest_bytes(classes: list[tuple[int, int]], bins: int) -> list[list[tuple[int, int]]]:
+    """The placement at about the least capacity at which bins bins do: steps that double, then bisection, to a 5,000th of a share."""
+    low = fair_share(classes, bins)
+    step, best, high = max(1, low // 5000), None, low
+    while best is None:
+        best = best_fit_decreasing(classes, high, bins)
+        if best is None:
+            low, high, step = high, high + step, 2 * step
+    while high - low > max(1, low // 5000):
+        trial = (low + high) // 2
+        found = best_fit_decreasing(classes, trial, bins)
+        low, high, best = (low, trial, found) if found else (trial, high, best)
     return best
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, grain: float = GRAIN, bundles: int = BUNDLES) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard; the law is bytes."""
     rows = documents(docs).select("doc_id", (F.octet_length("text") + OVERHEAD).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), F.sha2(F.col("text").cast("binary"), 256).alias("_group"))
     rows = materialize(rows, "shard-rows")
-    bundle = lambda: F.pmod(F.xxhash64("_group"), F.lit(bundles)).cast("int")
-    groups = rows.groupBy("_group").agg(F.sum("size").alias("_bytes"))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    least = max(1, int(total / shards * grain))
-    big = F.col("_bytes") >= least
-    # Two bounded lists: at most shards / grain groups of at least grain of a shard, and the bundles.
-    items = groups.groupBy(F.when(big, F.col("_group")).alias("_group"), F.when(~big, bundle()).alias("_bundle")).agg(F.sum("_bytes").alias("_bytes")).collect()
-    placed = fewest_bytes([(r["_bytes"], r["_group"] or r["_bundle"]) for r in items], shards)
-    spark = rows.sparkSession
-    of_group = spark.createDataFrame([(k, v) for k, v in placed.items() if isinstance(k, str)], "_group string, _a int")
-    of_bundle = spark.createDataFrame([(k, v) for k, v in placed.items() if isinstance(k, int)], "_bundle int, _b int")
-    put = rows.withColumn("_bundle", bundle()).join(F.broadcast(of_group), "_group", "left").join(F.broadcast(of_bundle), "_bundle", "left")
-    put = put.select("doc_id", "size", "text_crc32", F.coalesce("_a", "_b").alias("shard"))
+    groups = materialize(rows.groupBy("_group").agg(F.sum("size").alias("_bytes")), "shard-groups")
+    classes = [tuple(r) for r in groups.groupBy("_bytes").count().orderBy(F.desc("_bytes")).collect()]
+    # Of each class the shards in turn, with the number of the class's groups in it and the shards before.
+    table = []
+    for (size, _), put in zip(classes, fewest_bytes(classes, shards) if classes else [], strict=True):
+        ends, n = [], 0
+        for m, bin_ in put:
+            n += m
+            ends.append((n, bin_))
+        table.append((size, ends))
+    placed = rows.sparkSession.createDataFrame(table, "_size long, _ends array<struct<n: long, bin: int>>")
+    own = numbered(groups, "_bytes", "_group").join(placed, F.col("_bytes") == F.col("_size"))
+    own = own.select("_group", F.filter("_ends", lambda x: x["n"] > F.col("slot"))[0]["bin"].alias("shard"))
+    put = rows.join(own, "_group").select("doc_id", "size", "text_crc32", "shard")
     return numbered(put, "shard", "doc_id", "size", "text_crc32").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
