@@ -8,6 +8,7 @@ those of the whole text. A text with a run of white space that goes on after an
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 
 #: White space, one space, then white space or the end (RE2): the text is not cut at spaces.
 RUN = r"[\s\x0b\x1c-\x1f\x85\pZ] (?:[\s\x0b\x1c-\x1f\x85\pZ]|\z)"
-LIMIT = 150_000
+LIMIT = 100_000
 #: Up to here Unicode versions agree on what a letter is.
 LETTERS_BELOW = "ɐ"
 
@@ -63,33 +64,42 @@ class Encoder:
                     return self.chunk(c[:-1]) + self.ends[c[-1]]
                 else:
                     found = self.whole(" " + c)
+            if len(self.cache) >= self.limit:
+                self.cache, self.older = {}, self.cache
             self.cache[c] = found
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of the texts, none null, one after another; offsets (one more than texts)."""
+        return next(self.slices(texts, len(texts)), (np.zeros(0, np.uint32), np.zeros(1, np.int64)))
+
+    def slices(self, texts: pa.Array, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """encode() of every rows texts in turn; each distinct chunk of all is looked up once."""
         if not len(texts):
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        if len(self.cache) > self.limit:
-            self.cache, self.older = {}, self.cache
+            return
         odd = pc.match_substring_regex(texts, RUN)
         cut = pc.split_pattern(pc.if_else(odd, "", texts), " ")
-        first = cut.offsets.to_numpy()[:-1].astype(np.int64)
+        first = cut.offsets.to_numpy()
         words = cut.flatten().dictionary_encode()
+        first, which, names = first - first[0], words.indices.to_numpy().astype(np.int32), words.dictionary.to_pylist()
         chunk = self.chunk
-        found = [chunk(c) for c in words.dictionary.to_pylist()]
-        which = words.indices.to_numpy().astype(np.int64)
+        found = [chunk(c) for c in names]
         # Nothing stands before the first chunk of a text, so it has ids of its own; those of an odd text are all of its ids.
-        begins = [self.whole(texts[k].as_py() if o else words.dictionary[w].as_py()) for k, (o, w) in enumerate(zip(odd.to_pylist(), which[first], strict=True))]
-        which[first] = len(found) + np.arange(len(begins))
+        begins = [self.whole(texts[k].as_py() if o else names[w]) for k, (o, w) in enumerate(zip(odd.to_pylist(), which[first[:-1]].tolist(), strict=True))]
+        which[first[:-1]] = len(found) + np.arange(len(begins), dtype=np.int32)
         found += begins
+        del cut, words, names
         flat = np.frombuffer(b"".join(found), "<u4")
-        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        at = (np.cumsum(n) - n)[which]
-        n = n[which]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(at - (ends - n), n) + np.arange(ends[-1])]
-        return ids, np.r_[(ends - n)[first], ends[-1]]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        del found
+        begin = np.cumsum(size) - size
+        for k in range(0, len(texts), rows):
+            own = first[k : k + rows + 1]
+            w = which[own[0] : own[-1]]
+            n = size[w]
+            ends = np.cumsum(n)
+            ids = flat[np.repeat(begin[w] - (ends - n), n) + np.arange(ends[-1])]
+            yield ids, np.r_[(ends - n)[own[:-1] - own[0]], ends[-1]]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -102,11 +112,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(batch: pa.RecordBatch, path: str, rows: int = 4096):
+def encoded(batch: pa.RecordBatch, path: str, rows: int = 512, together: int = 2048) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with text, and the ids and offsets of their texts."""
-    for k in range(0, batch.num_rows, rows):
-        part = batch.slice(k, rows)
-        yield part, *encoder(path).encode(part.column("text"))
+    for k in range(0, batch.num_rows, together):
+        part = batch.slice(k, together)
+        for i, (ids, offsets) in enumerate(encoder(path).slices(part.column("text"), rows)):
+            yield part.slice(rows * i, rows), ids, offsets
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
