@@ -20,9 +20,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of ``spark.checkpoint.dir``; only where that is unset, a temporary one."""
+    """A fresh path in the shared folder of ``spark.checkpoint.dir``. Only a local session, whose tasks share its machine, may leave that unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = getattr(spark, "_quarry_scratch", None)
         if not root:
             root = tempfile.mkdtemp(prefix="quarry-")
@@ -101,6 +103,41 @@ def key_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 200_000)
         yield pa.Table.from_batches(held)
 
 
+def by_part(key: np.ndarray, of: np.ndarray, parts: int, *values: np.ndarray) -> pa.RecordBatch:
+    """Keys (a part above 32 bits) and the places they have in values (at most 65,536 long): for each part its keys, sorted, and whose they are, packed."""
+    order = np.argsort(key)
+    key, of = key[order], of[order]
+    edges = np.searchsorted(key, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
+    cols: list[list] = [[], [], [], *([] for _ in values)]
+    for p in range(parts):
+        i, j = edges[p], edges[p + 1]
+        if i < j:
+            used, local = np.unique(of[i:j], return_inverse=True)
+            for c, x in zip(cols, (p, key[i:j].astype("<u4").tobytes(), local.astype("<u2").tobytes(), *(v[used].tobytes() for v in values)), strict=True):
+                c.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "keys", "of", "ids", "labels"][: len(cols)])
+
+
+PACKED = "part int, keys binary, of binary, ids binary"
+
+
+def shared_keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each part of by_part()'s rows, sorted by part: the keys that several labels (ids, if there are no labels) have, with the part above 32 bits, and their ids."""
+    for t in key_groups(batches, "part", rows=1):
+        last = t.column_names[-1]
+        for at, size in zip(*(x.tolist() for x in runs(t.column("part").to_numpy())), strict=True):
+            one = t.slice(at, size)
+            part = np.uint64(one.column("part")[0].as_py())
+            keys = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in one.column("keys")])
+            local = [np.frombuffer(x.as_py(), "<u2") for x in one.column("of")]
+            ids, labels = (np.concatenate([np.frombuffer(v.as_py(), "<i8")[o] for v, o in zip(one.column(c), local, strict=True)]) for c in ("ids", last))
+            order = np.argsort(keys, kind="stable")
+            keys, ids, labels = keys[order], ids[order], labels[order]
+            starts, sizes = runs(keys)
+            shared = np.repeat(np.minimum.reduceat(labels, starts) != np.maximum.reduceat(labels, starts), sizes)
+            yield keys[shared].astype(np.uint64) | part << np.uint64(32), ids[shared]
+
+
 def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What a task makes; after its end the worker, which lives on, gives freed memory back to the system."""
     yield from batches

@@ -9,12 +9,17 @@ sorted to depth LENGTH only, so refinement stops there, and buckets of suffixes
 2. The q-gram buckets. Of every LENGTH-byte string the least Q-gram identifier is its bucket; strings next to each other mostly
    share one, so about one Q-gram in 14 is sent. Equal strings have equal buckets, whatever stands around them. Buckets
    whose strings stand in one document only are final (singletons) and leave.
-3. Refinement of the others. All strings of a document in a row that share a bucket are one run; a run's
-   identifier digests those of its strings at their offsets. Runs of a bucket are sorted on it. A run whose identifier a smaller document also has is
-   wholly repeated. Of each identifier the smallest document stays to represent it.
-4. Where a bucket still holds several identifiers, the representatives' strings are sorted on their own (depth LENGTH) identifiers: a string
+3. Refinement of the others. All strings of a document in a row that share a bucket are one run. The runs of a bucket are sorted by the depth LENGTH
+   identifiers at their first offset; that gives buckets with new numbers, which are sorted by the identifiers at the last offset (LENGTH bytes each,
+   so that two cover a run of up to LENGTH + 1 strings; longer ones also by a digest of those at every LENGTH-th offset between). Each pass sorts by the
+   numbers of the one before, and a bucket of one member leaves. A run that a smaller document also has is wholly repeated. Of each
+   final bucket the smallest document stays to represent it.
+4. Where a q-gram bucket still holds several of them, the representatives' strings are sorted on their own (depth LENGTH) identifiers and buckets: a string
    repeats if a smaller representative has it. That settles the rest, since any document that has the string is represented.
 
+Strings are told apart by two identifiers of 64 bits, the bucket's and the depth LENGTH one; only within a bucket are they compared. With b
+different strings in a bucket, a false equality has a chance of b * b / 2**65 there: under 1e-6 in all for 1e12 strings in buckets of 10.
+
 A hot string costs a row for each document that has it, in packed form in step 2; no pairs are made anywhere. Each document
 goes through one shuffle with its text; only those with a bucket left go on. Sort keys are buckets, spread over all tasks.
 
@@ -33,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import bucketed, documents, input_bytes, key_groups, materialize, release, runs, splitmix, tidy
+from quarry.llm.common import PACKED, bucketed, by_part, documents, input_bytes, key_groups, materialize, release, runs, shared_keys_of, splitmix, tidy
 
 LENGTH, Q = 50, 24
 PART_BYTES, CHUNK = 16 << 20, 1 << 18
@@ -104,13 +109,28 @@ def string_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return long[text], starts - begin[long][text], n, bucket[starts], starts, b50
 
 
-def run_identifiers(starts: np.ndarray, n: np.ndarray, b50: np.ndarray) -> np.ndarray:
-    """Identifiers of runs: of all their strings, each at its offset."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    begin = np.cumsum(n) - n
-    offset = np.arange(n.sum()) - np.repeat(begin, n)
-    return np.add.reduceat(pair(b50[np.repeat(starts, n) + offset], offset.astype(np.uint64) * M2), begin)
+def between(starts: np.ndarray, n: np.ndarray, b50: np.ndarray) -> np.ndarray:
+    """Of runs of over LENGTH + 1 strings: a digest of the identifiers at every LENGTH-th offset between the first and the last; of others 0."""
+    out = np.zeros(len(starts), np.uint64)
+    long = np.flatnonzero(n > LENGTH + 1)
+    if len(long):
+        m = (n[long] - 2) // LENGTH
+        begin = np.cumsum(m) - m
+        offset = LENGTH * (1 + np.arange(m.sum()) - np.repeat(begin, m))
+        out[long] = np.add.reduceat(pair(b50[np.repeat(starts[long], m) + offset], offset.astype(np.uint64) * M2), begin)
+    return out
+
+
+def refine(number: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Bucket numbers after each bucket is sorted by its members' values, identifiers of a later offset; buckets of one member are final."""
+    many = np.bincount(number)[number] > 1
+    number, values, out = number[many], values[many], number.copy()
+    order = np.lexsort((values, number))
+    new = np.r_[True, (number[order][1:] != number[order][:-1]) | (values[order][1:] != values[order][:-1])][: len(order)]
+    fresh = np.empty(len(order), np.int64)
+    fresh[order] = np.cumsum(new) - 1 + len(out)
+    out[many] = fresh
+    return np.unique(out, return_inverse=True)[1]
 
 
 def chunks(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
@@ -132,25 +152,14 @@ def parts_for(docs: DataFrame) -> int:
 def packed_buckets(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """For each batch and part: the buckets (32 bits below those of the part) and the documents they stand in."""
     bits = parts.bit_length() - 1
-    down, low = np.uint64(32 - bits), np.uint64(0xFFFFFFFF)
+    down = np.uint64(32 - bits)
     keys, whose, ids, size = [], [], [], 0
 
     def out() -> pa.RecordBatch:
-        key, of = np.concatenate(keys), np.concatenate(whose)
-        order = np.argsort(key)
-        key, of = key[order], of[order]
-        part = (key >> np.uint64(32)).astype(np.int64)
-        edges = np.searchsorted(part, np.arange(parts + 1))
-        all_ids, cols = np.array(ids, "<i8"), ([], [], [], [])
-        for p in range(parts):
-            i, j = edges[p], edges[p + 1]
-            if i < j:
-                used, local = np.unique(of[i:j], return_inverse=True)
-                for c, x in zip(cols, (p, (key[i:j] & low).astype("<u4").tobytes(), local.astype("<u2").tobytes(), all_ids[used].tobytes()), strict=True):
-                    c.append(x)
+        made = by_part(np.concatenate(keys), np.concatenate(whose), parts, np.array(ids, "<i8"))
         for x in (keys, whose, ids):
             x.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "keys", "of", "ids"])
+        return made
 
     for b in batches:
         for texts, doc_ids in chunks(b, "doc_id"):
@@ -174,23 +183,12 @@ def packed_buckets(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa
 
 def shared_buckets(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
     """Of each part, for each group of documents: the buckets that stand in other documents too, in packed form. Rows are sorted by part."""
-    for t in key_groups(batches, "part", rows=1):
-        edges = runs(t.column("part").to_numpy())
-        for at, size in zip(*(x.tolist() for x in edges), strict=True):
-            one = t.slice(at, size)
-            part = np.uint64(one.column("part")[0].as_py())
-            keys = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in one.column("keys")])
-            ids = np.concatenate([np.frombuffer(i.as_py(), "<i8")[np.frombuffer(o.as_py(), "<u2")] for o, i in zip(one.column("of"), one.column("ids"), strict=True)])
-            order = np.argsort(keys, kind="stable")
-            keys, ids = keys[order], ids[order]
-            starts, sizes = runs(keys)
-            shared = np.repeat(np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts), sizes)
-            keys, ids = keys[shared].astype(np.uint64) | part << np.uint64(32), ids[shared]
-            group = (ids.view(np.uint64) * M1 >> np.uint64(33)).astype(np.int64) % groups
-            order = np.argsort(group, kind="stable")
-            starts, sizes = runs(group[order])
-            rows = [order[i : i + n] for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(group[order][starts], pa.int32()), pa.array([ids[r].astype("<i8").tobytes() for r in rows], pa.binary()), pa.array([keys[r].astype("<u8").tobytes() for r in rows], pa.binary())], names=["group", "ids", "keys"])
+    for keys, ids in shared_keys_of(batches):
+        group = (ids.view(np.uint64) * M1 >> np.uint64(33)).astype(np.int64) % groups
+        order = np.argsort(group, kind="stable")
+        starts, sizes = runs(group[order])
+        rows = [order[i : i + n] for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(group[order][starts], pa.int32()), pa.array([ids[r].astype("<i8").tobytes() for r in rows], pa.binary()), pa.array([keys[r].astype("<u8").tobytes() for r in rows], pa.binary())], names=["group", "ids", "keys"])
 
 
 def document_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +204,7 @@ def document_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array([keys[i : i + m].tobytes() for i, m in zip(s.tolist(), n.tolist(), strict=True)], pa.binary())], names=["_id", "keys"])
 
 
-RUN_SCHEMA = "bucket long, run long, doc_id long, row long, span long"
+RUN_SCHEMA = "bucket long, first long, last long, rest long, doc_id long, row long, span long"
 
 
 def document_runs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -217,10 +215,9 @@ def document_runs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
             text, first, n, bucket, starts, b50 = string_runs(texts)
             shared = np.unique(np.frombuffer(b"".join(keys.to_pylist()), "<u8"))
             chosen = np.flatnonzero(np.isin(bucket >> down, shared))
-            text, values = text[chosen], run_identifiers(starts[chosen], n[chosen], b50)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (bucket[chosen].view(np.int64), values.view(np.int64), doc_ids.to_numpy()[text], rows.to_numpy()[text], first[chosen] << 22 | n[chosen])], names=[x.split()[0] for x in RUN_SCHEMA.split(", ")]
-            )
+            text, at, n = text[chosen], starts[chosen], n[chosen]
+            keys = [x.view(np.int64) for x in (bucket[chosen], b50[at], b50[at + n - 1], between(at, n, b50))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, doc_ids.to_numpy()[text], rows.to_numpy()[text], first[chosen] << 22 | n)], names=[x.split()[0] for x in RUN_SCHEMA.split(", ")])
 
 
 def by_row(doc: np.ndarray, row: np.ndarray, **lists: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
@@ -240,21 +237,18 @@ def by_row(doc: np.ndarray, row: np.ndarray, **lists: tuple[np.ndarray, np.ndarr
 def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs sorted by bucket; by document row, those wholly repeated (done) and representatives in buckets with several identifiers (todo)."""
     for t in key_groups(batches, "bucket"):
-        bucket, run, doc = (t.column(c).to_numpy() for c in ("bucket", "run", "doc_id"))
-        order = np.lexsort((doc, run, bucket))
-        bucket, run, doc = bucket[order], run[order], doc[order]
-        new_bucket = np.r_[True, bucket[1:] != bucket[:-1]]
-        new_class = new_bucket | np.r_[True, run[1:] != run[:-1]]
-        class_start = np.flatnonzero(new_class)
-        class_of = np.cumsum(new_class) - 1
-        repeated = doc > doc[class_start][class_of]
-        bucket_of = np.cumsum(new_bucket) - 1
-        classes = np.bincount(bucket_of[class_start], minlength=bucket_of[-1] + 1)
+        bucket, doc, span = (t.column(c).to_numpy() for c in ("bucket", "doc_id", "span"))
+        number = bucket_of = np.unique(bucket, return_inverse=True)[1]
+        for values in (span & MOST, *(t.column(c).to_numpy() for c in ("first", "last", "rest"))):
+            number = refine(number, values)
+        order = np.lexsort((doc, number))
+        starts, sizes = runs(number[order])
+        repeated = np.empty(len(doc), bool)
+        repeated[order] = doc[order] > np.repeat(doc[order][starts], sizes)
+        classes = np.bincount(bucket_of[order][starts], minlength=bucket_of.max() + 1)
         is_open = ~repeated & (classes[bucket_of] > 1)
         chosen = np.flatnonzero(repeated | is_open)
-        at = order[chosen]
-        row, span = t.column("row").to_numpy()[at], t.column("span").to_numpy()[at]
-        yield by_row(doc[chosen], row, done=(repeated[chosen], span), todo=(is_open[chosen], span))
+        yield by_row(doc[chosen], t.column("row").to_numpy()[chosen], done=(repeated[chosen], span[chosen]), todo=(is_open[chosen], span[chosen]))
 
 
 def gathered(rows: DataFrame, *lists: str) -> DataFrame:
@@ -281,20 +275,24 @@ def open_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = spans & MOST
             starts = (np.cumsum(sizes) - sizes)[whose] + (spans >> 22)
             offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            string, whose = identifiers(b"".join(texts))[1][np.repeat(starts, n) + offset], np.repeat(whose, n)
+            at, whose = np.repeat(starts, n) + offset, np.repeat(whose, n)
+            b24, b50 = identifiers(b"".join(texts))
+            string, bucket = b50[at], least(b24, LENGTH - Q + 1)[at]
             order = np.lexsort((string, whose))
-            string, whose = string[order], whose[order]
+            string, bucket, whose = string[order], bucket[order], whose[order]
             new = np.r_[True, (whose[1:] != whose[:-1]) | (string[1:] != string[:-1])][: len(string)]
-            string, whose = string[new], whose[new]
-            yield pa.RecordBatch.from_arrays([pa.array(string.view(np.int64)), pa.array(doc_ids.to_numpy()[whose]), pa.array(rows.to_numpy()[whose])], names=["string", "doc_id", "row"])
+            string, bucket, whose = string[new], bucket[new], whose[new]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (string.view(np.int64), bucket.view(np.int64), doc_ids.to_numpy()[whose], rows.to_numpy()[whose])], names=["string", "bucket", "doc_id", "row"])
 
 
 def repeated_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by string, by document row: the strings of which the document is not the smallest that has them."""
     for t in key_groups(batches, "string"):
         string, doc = t.column("string").to_numpy(), t.column("doc_id").to_numpy()
-        starts, sizes = runs(string)
-        later = doc > np.repeat(np.minimum.reduceat(doc, starts), sizes)
+        number = refine(np.unique(string, return_inverse=True)[1], t.column("bucket").to_numpy())
+        least_of = np.full(number.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least_of, number, doc)
+        later = doc > least_of[number]
         yield by_row(doc[later], t.column("row").to_numpy()[later], strings=(np.ones(int(later.sum()), bool), string[later]))
 
 
@@ -311,7 +309,7 @@ def without(data: bytes, removed: np.ndarray) -> tuple[bytes, int, int]:
 
 def shared_keys(rows: DataFrame, parts: int, tasks: int) -> DataFrame:
     """_id and keys, of each document that has shared buckets."""
-    packed = rows.select("doc_id", "text").mapInArrow(lambda x: tidy(packed_buckets(x, parts)), "part int, keys binary, of binary, ids binary")
+    packed = rows.select("doc_id", "text").mapInArrow(lambda x: tidy(packed_buckets(x, parts)), PACKED)
     shared = packed.repartition(min(parts, max(tasks, 16)), "part").sortWithinPartitions("part").mapInArrow(lambda x: tidy(shared_buckets(x, 4 * tasks)), "group int, ids binary, keys binary")
     return materialize(shared.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(lambda x: tidy(document_keys(x)), "_id long, keys binary"), "keys")
 
@@ -332,7 +330,7 @@ def settled_strings(others: DataFrame, per_row: DataFrame, tasks: int) -> DataFr
     """_d, _r and the identifiers of repeated strings in open runs."""
     asked = per_row.where(F.size("todo") > 0)
     open_ = others.join(asked, same_row(others, asked)).select("doc_id", "row", "text", "todo")
-    strings = open_.mapInArrow(lambda x: tidy(open_strings(x)), "string long, doc_id long, row long")
+    strings = open_.mapInArrow(lambda x: tidy(open_strings(x)), "string long, bucket long, doc_id long, row long")
     later = strings.repartition(tasks, "string").sortWithinPartitions("string").mapInArrow(lambda x: tidy(repeated_strings(x)), "_doc long, _row long, strings array<long>")
     return materialize(gathered(later, "strings").withColumnsRenamed({"_doc": "_d", "_row": "_r"}), "strings")
 
