@@ -8,6 +8,7 @@ those of the whole text. A text with a run of white space that goes on after an
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 
 #: White space, one space, then white space or the end (RE2): the text is not cut at spaces.
 RUN = r"[\s\x0b\x1c-\x1f\x85\pZ] (?:[\s\x0b\x1c-\x1f\x85\pZ]|\z)"
-LIMIT = 100_000
+LIMIT = 150_000
 #: Up to here Unicode versions agree on what a letter is.
 LETTERS_BELOW = "ɐ"
 
@@ -39,6 +40,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = byte_letters()
+        self.space = self.letters[32]
         self.limit, self.cache, self.older = limit, {}, {}
         self.ends = {c: self.whole(c) for c in ".,"}
         #: Bytes of each id.
@@ -49,8 +51,8 @@ class Encoder:
 
     def word(self, letters: str) -> bytes:
         """Ids of a space and letters: one pre-token, so the model alone is asked."""
-        mapped = (" " + letters).encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        mapped = self.space + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def chunk(self, c: str) -> bytes:
         """Ids of a space and c."""
@@ -112,7 +114,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(batch: pa.RecordBatch, path: str, rows: int = 512, together: int = 2048) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encoded(batch: pa.RecordBatch, path: str, rows: int = 512, together: int = 4096) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with text, and the ids and offsets of their texts."""
     for k in range(0, batch.num_rows, together):
         part = batch.slice(k, together)
