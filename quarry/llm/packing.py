@@ -8,7 +8,8 @@ Every partition packs on its own, so no text is shuffled and no group meets in o
 however many it has in all. The last sequence of a partition may be short; those of TAILS partitions are packed once more, together.
 
 Defined results: a null or empty text is the end id alone; an empty table gives an empty table; repeated rows are packed as
-rows of their own; an example longer than a sequence is cut; a null doc_id is kept; equal demands: the item that came last enters first.
+rows of their own; an example longer than a sequence is cut; a null doc_id is kept; equal demands: the item that came last enters first;
+equal dot products: more tokens, then more loss.
 """
 
 from __future__ import annotations
@@ -44,96 +45,104 @@ class Limits:
 
 
 class Item(NamedTuple):
-    """Ids of a document from start on, and which places of the document bear loss: a tuple of (from, to)."""
+    """Ids of a document from start on; which places of the document bear loss, a tuple of (from, to); and its demands, see item()."""
 
     doc_id: int | None
     doc_tokens: int
     start: int
     data: bytes
     spans: tuple
+    tokens: int
+    loss: int
+    lead: int
 
-    @property
-    def tokens(self) -> int:
-        return len(self.data) // 4
-
-    @property
-    def loss(self) -> int:
-        end = self.start + self.tokens
-        return sum(max(0, min(end, j) - max(self.start, i)) for i, j in self.spans)
+    def cut(self, n: int) -> tuple[Item, Item]:
+        return item(self.doc_id, self.doc_tokens, self.start, self.data[: 4 * n], self.spans), item(self.doc_id, self.doc_tokens, self.start + n, self.data[4 * n :], self.spans)
 
-    @property
-    def lead(self) -> int:
-        """Ids before the first that bears loss."""
-        return min([self.tokens, *(max(0, i - self.start) for i, j in self.spans if j > self.start)])
 
-    def cut(self, n: int) -> tuple[Item, Item]:
-        return self._replace(data=self.data[: 4 * n]), self._replace(start=self.start + n, data=self.data[4 * n :])
+def item(doc_id: int | None, doc_tokens: int, start: int, data: bytes, spans: tuple) -> Item:
+    """An item with its tokens, how many of them bear loss, and how many come before the first that does (lead)."""
+    n, loss, lead = len(data) // 4, 0, -1
+    for i, j in spans:
+        i, j = max(start, i), min(start + n, j)
+        if i < j:
+            loss += j - i
+            lead = i - start if lead < 0 else lead
+    return Item(doc_id, doc_tokens, start, data, spans, n, loss, n if lead < 0 else lead)
 
 
 class Pool:
-    """Items by class (tokens, loss-bearing tokens, lead); an item of a class is as good as another."""
+    """Items by class (tokens, loss-bearing tokens, lead), by tokens; an item of a class is as good as another. A class without items bears GONE."""
+
+    GONE = 1 << 40
 
     def __init__(self, limits: Limits, items: list[Item]):
-        self.scale = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
-        self.items: dict[tuple[int, int, int], list[Item]] = defaultdict(list)
+        by: dict[tuple[int, int, int], list[Item]] = defaultdict(list)
         for x in items:
-            self.items[x.tokens, x.loss, x.lead].append(x)
-        self.size = len(items)
-        self.keys = np.array(sorted(self.items), np.int64).reshape(-1, 3)
-        self.demands()
-
-    def demands(self) -> None:
-        self.needs = np.column_stack([self.keys[:, 0], np.ones(len(self.keys)), self.keys[:, 1]])
-
-    def best(self, left: np.ndarray) -> tuple[int, int, int] | None:
-        """The class that fits with the largest dot product with what is left, as shares of the limits; ties: more tokens."""
-        fits = (self.needs <= left).all(axis=1)
-        if not fits.any():
+            by[x.tokens, x.loss, x.lead].append(x)
+        keys = sorted(by)
+        self.items = [by[k] for k in keys]
+        self.tokens, self.loss, self.lead = np.array(keys, np.int64).reshape(-1, 3).T.copy()
+        self.size, self.by_tokens, self.by_loss = len(items), limits.loss_tokens**2, limits.tokens**2
+
+    def best(self, tokens: int, loss: int) -> int | None:
+        """The class that fits with the largest dot product with what is left, as shares of the limits; ties: more tokens, more loss.
+
+        An item is one segment whatever its class, so that dimension only closes sequences; the others are compared as whole numbers.
+        """
+        n = int(np.searchsorted(self.tokens, tokens, side="right"))
+        if not n:
             return None
-        score = np.where(fits, np.round(self.needs @ (left / self.scale**2), 12), -1.0)
-        return tuple(self.keys[len(score) - 1 - int(np.argmax(score[::-1]))].tolist())
+        score = self.tokens[:n] * (tokens * self.by_tokens) + self.loss[:n] * (loss * self.by_loss)
+        score[self.loss[:n] > loss] = -1
+        at = n - 1 - int(score[::-1].argmax())
+        return at if score[at] >= 0 else None
 
-    def longest(self, left: np.ndarray) -> tuple[tuple[int, int, int], int]:
+    def longest(self, tokens: int, loss: int) -> tuple[int, int]:
         """The class of whose items the longest beginning fits, and its length (0: none)."""
-        fit = np.minimum(self.keys[:, 0], np.minimum(left[0], self.keys[:, 2] + left[2]))
-        at = len(fit) - 1 - int(np.argmax(fit[::-1]))
-        return tuple(self.keys[at].tolist()), int(fit[at])
+        fit = np.minimum(np.minimum(self.tokens, tokens), self.lead + loss)
+        at = len(fit) - 1 - int(fit[::-1].argmax())
+        return at, max(0, int(fit[at]))
 
-    def take(self, key: tuple[int, int, int]) -> Item:
-        item = self.items[key].pop()
+    def take(self, at: int) -> Item:
         self.size -= 1
-        if not self.items[key]:
-            del self.items[key]
-            self.keys = self.keys[(self.keys != key).any(axis=1)]
-            self.demands()
-        return item
-
-    def put(self, item: Item) -> None:
-        key = item.tokens, item.loss, item.lead
-        if key not in self.items:
-            self.keys = np.insert(self.keys, int(np.searchsorted(self.keys[:, 0], key[0])), key, axis=0)
-            self.demands()
-        self.items[key].append(item)
+        found = self.items[at].pop()
+        if not self.items[at]:
+            self.loss[at], self.lead[at] = self.GONE, -self.GONE
+        return found
+
+    def put(self, new: Item) -> None:
+        at = int(np.searchsorted(self.tokens, new.tokens))
+        self.tokens, self.loss, self.lead = (np.insert(x, at, v) for x, v in ((self.tokens, new.tokens), (self.loss, new.loss), (self.lead, new.lead)))
+        self.items.insert(at, [new])
         self.size += 1
 
+    def tidy(self) -> None:
+        """Drop the classes without items."""
+        here = self.loss < self.GONE
+        if 2 * np.count_nonzero(here) < len(here):
+            self.items = [x for x in self.items if x]
+            self.tokens, self.loss, self.lead = self.tokens[here], self.loss[here], self.lead[here]
+
 
 def pack(items: list[Item], limits: Limits, whole: bool = False) -> list[list[Item]]:
     """Sequences of items, or of pieces of them; whole items are not cut, and none may then exceed the limits."""
     pool, out = Pool(limits, items), []
     while pool.size:
-        left, sequence = pool.scale.copy(), []
-        while left[0] > 0 and left[1] > 0 and pool.size:
-            key = pool.best(left)
-            if key:
-                piece = pool.take(key)
+        tokens, segments, loss, sequence = limits.tokens, limits.segments, limits.loss_tokens, []
+        pool.tidy()
+        while tokens and segments and pool.size:
+            at = pool.best(tokens, loss)
+            if at is not None:
+                piece = pool.take(at)
             else:
-                key, n = pool.longest(left)
+                at, n = pool.longest(tokens, loss)
                 if whole or not n:
                     break
-                piece, rest = pool.take(key).cut(n)
+                piece, rest = pool.take(at).cut(n)
                 pool.put(rest)
             sequence.append(piece)
-            left -= (piece.tokens, 1, piece.loss)
+            tokens, segments, loss = tokens - piece.tokens, segments - 1, loss - piece.loss
         if not sequence:
             raise ValueError("an item exceeds the limits")
         out.append(sequence)
@@ -149,7 +158,7 @@ def document_items(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[Ite
             for doc_id, text, i, j in zip(part.column("doc_id").to_pylist(), part.column("text"), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 line = text.as_buffer().to_pybytes().find(b"\n") + 1
                 prompt = int(np.searchsorted(at[i : j + 1], at[i] + line)) if line else 0
-                yield Item(doc_id, j - i + 1, 0, ids[i:j].tobytes() + END, ((prompt, j - i + 1),))
+                yield item(doc_id, j - i + 1, 0, ids[i:j].tobytes() + END, ((prompt, j - i + 1),))
 
 
 def conversation_items(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[Item]:
@@ -159,14 +168,14 @@ def conversation_items(batches: Iterator[pa.RecordBatch], path: str) -> Iterator
         for part, ids, offsets in encoded(b, path):
             for doc_id, role, i, j in zip(part.column("doc_id").to_pylist(), part.column("role").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 if held and doc_id != key:
-                    yield Item(key, n, 0, b"".join(held), tuple(spans))
+                    yield item(key, n, 0, b"".join(held), tuple(spans))
                     held, spans, n = [], [], 0
                 key = doc_id
                 held.append(ids[i:j].tobytes() + END)
                 spans += [(n, n + j - i + 1)] * (role == "assistant")
                 n += j - i + 1
     if held:
-        yield Item(key, n, 0, b"".join(held), tuple(spans))
+        yield item(key, n, 0, b"".join(held), tuple(spans))
 
 
 def rows_of(sequence: list[Item], sequence_id: int) -> Iterator[tuple]:
@@ -204,14 +213,14 @@ def packed(items: Iterator[Item], limits: Limits) -> Iterator[pa.RecordBatch]:
         for sequence in done:
             put(sequence)
 
-    for item in items:
-        while item.tokens > limits.tokens or item.loss > limits.loss_tokens:
-            first, item = item.cut(min(item.tokens, limits.tokens, item.lead + limits.loss_tokens))
+    for x in items:
+        while x.tokens > limits.tokens or x.loss > limits.loss_tokens:
+            first, x = x.cut(min(x.tokens, limits.tokens, x.lead + limits.loss_tokens))
             if first.tokens == limits.tokens:
                 put([first])
             else:
                 rests.append(first)
-        rests.append(item)
+        rests.append(x)
         if len(rests) >= POOL:
             flush()
         if len(rows) >= 10_000:
@@ -226,7 +235,7 @@ def repacked(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.R
     """Pieces of the tails of a group of partitions, from rows sorted by group."""
     for t in key_groups(batches, "sequence_id", rows=1):
         for group in sorted(set(t.column("sequence_id").to_pylist())):
-            items = [Item(r["doc_id"], r["doc_tokens"], r["start"], r["_ids"], tuple(zip(r["_spans"][::2], r["_spans"][1::2], strict=True))) for r in t.to_pylist() if r["sequence_id"] == group]
+            items = [item(r["doc_id"], r["doc_tokens"], r["start"], r["_ids"], tuple(zip(r["_spans"][::2], r["_spans"][1::2], strict=True))) for r in t.to_pylist() if r["sequence_id"] == group]
             sequences = pack(items, limits)
             yield table([r for k, s in enumerate(sequences) for r in rows_of(s, (1 << 62) + (group << 33) + k)])
 
