@@ -12,10 +12,17 @@ A bucket only has to find what is connected, so a member that joined a component
 passes, not a pass per pair. A bucket above HOT members is cut into tiles of members and each pair of tiles goes to a task of its own;
 no pair is dropped. Links leave as (member, least member of its component).
 
-near_dedup() also links texts whose sets of shingles have a Jaccard likeness of LIKE = 4/5 or more. Shingles are put in one order: those that a
-sample finds frequent last, else by digest. Sets of a and b shingles this alike share at least 4/5 of the larger, so that their first
-n - 4n/5 + l(n) in that order share l(min(a, b)) or more; pairs that do, and have different components, are verified on the whole sets. The
-path is exact but for equal digests.
+near_dedup() also links texts whose sets of shingles have a Jaccard likeness of LIKE = 4/5 or more. Sets in the order of their digests: sets
+this alike share at least 4/5 of the larger, so that their first n - 4n/5 + l(n) digests share l(min(a, b)) or more.
+
+1. Texts of whose first digests another text has fewer than l(n) leave: no pairs are made for that, only counts by digest.
+2. Of the others whole sets are counted alike: a text stays only if 4/5 of its set stands in texts of other components.
+3. By a few minima of rehashed sets, each text is verified against one text of its group (that with the largest share in others): linear in the
+   texts. A dense group of near copies falls into one component here, and 2 is done again with the new components.
+4. What is left pairs up by shared first digests, where sizes and the counts of 2 allow a likeness of 4/5, and every pair is verified on the whole
+   sets. Texts of a digest that more than CROWD have are compared by bitmaps in tiles of their crowd (what such digests connect): no pairs are emitted there.
+
+The path loses no link but for equal digests (64 bits in a set, 32 bits or more in the counts, where they only let more texts through).
 
 Defined results: a null or empty text has fingerprint zero, and such rows are linked like any other; fewer words than a shingle
 are one shingle; equal rows have equal fingerprints; a row whose doc_id is null gets the least doc_id of its component, if any; an empty table gives an
@@ -25,6 +32,7 @@ empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -33,13 +41,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, key_groups, materialize, runs, splitmix, tidy
+from quarry.llm.common import PACKED, by_part, documents, input_bytes, key_groups, materialize, runs, scratch, shared_keys_of, shuffle_partitions, splitmix, tidy
 from quarry.llm.components import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
 PIVOTS, HOT, CHUNK = 16, 8192, 1 << 16
 SMALL = 48
-LIKE, SAMPLE, OFTEN, MOST = (4, 5), 16, 4, 50_000
+LIKE, MINIMA, ROUNDS = (4, 5), 4, 2
+CROWD, TILE = 16, 1024  # texts of a digest that are paired one by one; texts of a tile
+ROWS, KEYS, FEW = 5_000, 1 << 20, 1_000_000  # rows and digests packed at once; rows that may be broadcast
+MIX = np.uint64(0x9FB21C651E98DF25)
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -56,36 +67,53 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return out.reshape(64)
 
 
-def simhash(text: str, shingle: int = SHINGLE) -> int:
-    """The fingerprint of a text, unsigned."""
+def digests(text: str, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's shingles in their order, CHUNK at a time."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    size = min(shingle, len(words))
-    counts, n = np.zeros(64, np.int64), len(words) - size + 1
-    h = xxhash.xxh64_intdigest
-    for k in range(0, n, CHUNK):
+    size, h = min(shingle, len(words)), xxhash.xxh64_intdigest
+    for k in range(0, len(words) - size + 1 if words else 0, CHUNK):
         part = words[k : k + CHUNK + size - 1]
         joined = b" ".join(part)
         ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
         starts = np.r_[0, ends[:-1]]
-        m = len(part) - size + 1
-        spans = zip(starts[:m].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)
-        counts += bit_counts(np.array([h(joined[i:j], SEED) for i, j in spans], np.uint64))
+        spans = zip(starts[: len(part) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)
+        yield np.array([h(joined[i:j], SEED) for i, j in spans], np.uint64)
+
+
+def folded(parts: list[np.ndarray]) -> int:
+    """The fingerprint of a text, unsigned, from the digests of its shingles."""
+    n, counts = sum(map(len, parts)), sum((bit_counts(h) for h in parts), np.zeros(64, np.int64))
     return int(((2 * counts > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row; a digest of its text in the column row, if that is named."""
-    texts, extra = documents(docs), [row] if row else []
-    texts = texts.withColumn(row, F.xxhash64("text")) if row else texts
+def simhash(text: str, shingle: int = SHINGLE) -> int:
+    return folded(list(digests(text, shingle)))
+
+
+def shingles(parts: list[np.ndarray]) -> np.ndarray:
+    """A text's set: its distinct digests, in order."""
+    return np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, alike: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of every row; if alike, also a digest of its text, the size of its set and its first digests: row, n, first."""
+    texts = documents(docs)
+    texts = texts.withColumn("row", F.xxhash64("text")) if alike else texts
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([simhash(t, shingle) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), *(b.column(c) for c in extra)], names=["doc_id", "fp", *extra])
+            fps, sizes, firsts = [], [], []
+            for t in b.column("text"):
+                parts = list(digests(t.as_py(), shingle))
+                fps.append(folded(parts))
+                if alike:
+                    own = shingles(parts)
+                    sizes.append(len(own))
+                    firsts.append(prefix(own).tobytes())
+            more = [b.column("row"), pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary())] if alike else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), *more], names=["doc_id", "fp", "row", "n", "first"][: 2 + len(more)])
 
-    return texts.mapInArrow(lambda batches: tidy(work(batches)), ", ".join(f"{c} long" for c in ["doc_id", "fp", *extra]))
+    return texts.mapInArrow(lambda batches: tidy(work(batches)), "doc_id long, fp long" + ", row long, n long, first binary" * alike)
 
 
 def blocks_for(n: int, bits: int) -> int:
@@ -176,96 +204,222 @@ def linked(batches: Iterator[pa.RecordBatch], bits: int, n_pivots: int) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
 
 
-def shingles(text: str, shingle: int) -> np.ndarray:
-    """The digests of a text's distinct shingles, in order."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    size, h = min(shingle, len(words)), xxhash.xxh64_intdigest
-    return np.unique(np.array([h(b" ".join(words[k : k + size]), SEED) for k in range(len(words) - size + 1)], np.uint64)) if words else np.zeros(0, np.uint64)
-
-
 def share(n: np.ndarray | int) -> np.ndarray | int:
-    """How many shingles sets this alike share at the least, if the smaller has n, among those that prefix() takes."""
+    """How many digests sets this alike share at the least, if the smaller has n, among those that prefix() takes."""
     return 1 + n // 20
 
 
-def prefix(ordered: np.ndarray) -> np.ndarray:
-    """The shingles of a set, in the common order, by which it is found."""
+def prefix(ordered: np.ndarray, least: int = 0) -> np.ndarray:
+    """The digests of a set, in order, of which sets this alike share least (share(n), if that is 0) or more."""
     n = len(ordered)
-    return ordered[: n - -(-LIKE[0] * n // LIKE[1]) + share(n)] if n else ordered
+    return ordered[: n - -(-LIKE[0] * n // LIKE[1]) + (least or share(n))] if n else ordered
 
 
-def frequent(texts: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles that many texts have, by a sample; they decide on speed only, never on results."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), shingle).view(np.int64))], names=["token"])
-
-    sample = texts.where(F.pmod("row", F.lit(SAMPLE)) == 0).select("text").mapInArrow(lambda batches: tidy(work(batches)), "token long")
-    often = sample.groupBy("token").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count")).limit(MOST)
-    return np.sort(np.array([r.token for r in often.select("token").collect()], np.int64).view(np.uint64))
+def packed_digests(batches: Iterator[pa.RecordBatch], column: str, parts: int) -> Iterator[pa.RecordBatch]:
+    """by_part() of the digests in a column, with their rows and, if there are any, labels; a row that a batch repeats counts once."""
+    down = np.uint64(32 - (parts.bit_length() - 1))
+    for b in batches:
+        start, size = 0, 0
+        for k in range(b.num_rows):
+            size += len(b.column(column)[k].as_buffer())
+            if size < 8 * KEYS and k + 1 - start < ROWS and k + 1 < b.num_rows:
+                continue
+            part = b.slice(start, k + 1 - start)
+            start, size = k + 1, 0
+            _, at = np.unique(part.column("row").to_numpy(), return_index=True)
+            sets = [np.frombuffer(part.column(column)[i].as_buffer(), "<u8") for i in at.tolist()]
+            keys = np.concatenate(sets) * MIX >> down
+            of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            yield by_part(keys, of, parts, *(part.column(c).to_numpy()[at] for c in ("row", "label") if c in b.schema.names))
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each part of packed_digests(): how many digests a row has that others have too."""
+    for keys, ids in shared_keys_of(batches):
+        order = np.lexsort((keys, ids))
+        keys, ids = keys[order], ids[order]
+        new = np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])][: len(ids)]
+        row, m = np.unique(ids[new], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(m.astype(np.int64))], names=["row", "m"])
+
+
+def shared_counts(texts: DataFrame, column: str, parts: int) -> DataFrame:
+    """row and m: how many digests of the column stand in other rows (of another label, if texts have labels)."""
+    labelled = "label" in texts.columns
+    packed = texts.select("row", column, *["label"] * labelled).mapInArrow(lambda x: tidy(packed_digests(x, column, parts)), PACKED + ", labels binary" * labelled)
+    tasks = min(parts, max(16, shuffle_partitions(texts.sparkSession)))
+    found = packed.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(lambda x: tidy(counted(x)), "row long, m long")
+    return found.groupBy("row").agg(F.sum("m").alias("m"))
+
+
+def minima(batches: Iterator[pa.RecordBatch], round_: int) -> Iterator[pa.RecordBatch]:
+    """MINIMA keys of each set: the least of its digests, rehashed in as many ways."""
+    odd = splitmix(2 * MINIMA, 11 + round_) | np.uint64(1)
+    for b in batches:
+        keys = []
+        for x in b.column("own"):
+            own = np.frombuffer(x.as_buffer(), "<u8")
+            for k in range(MINIMA):
+                y = own * odd[k]
+                keys.append(int((((y ^ y >> np.uint64(29)) * odd[MINIMA + k]).min())) ^ k)
+        rest = [pa.array(np.repeat(b.column(c).to_numpy(), MINIMA)) for c in ("row", "label", "n", "m")]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), *rest], names=["key", "row", "label", "n", "m"])
+
+
+def like_sizes(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes n (two rows: a pair's) of which others have m digests can be alike."""
+    most = np.minimum(m[0], m[1])
+    return (sum(LIKE) * most >= LIKE[0] * (n[0] + n[1])) & (LIKE[1] * n.min(axis=0) >= LIKE[0] * n.max(axis=0))
+
+
+def star_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key: each row with the one of its group whose set stands in others by the largest share."""
+    for t in key_groups(batches, "key"):
+        key, row, label, n, m = (t.column(c).to_numpy() for c in ("key", "row", "label", "n", "m"))
+        order = np.lexsort((row, -m / np.maximum(n, 1), key))
+        key, row, label, n, m = key[order], row[order], label[order], n[order], m[order]
+        starts, sizes = runs(key)
+        first = np.repeat(starts, sizes)
+        ok = (label != label[first]) & like_sizes(np.array([n, n[first]]), np.array([m, m[first]]))
+        yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (np.minimum(row, row[first]), np.maximum(row, row[first]))], names=["a", "b"])
+
+
+def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each digest by which a text is found: alike texts share one of them or more."""
+    for b in batches:
+        sets = [prefix(np.frombuffer(x.as_buffer(), "<u8"), 1) for x in b.column("own")]
+        count = [len(x) for x in sets]
+        token = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(token), *(pa.array(np.repeat(b.column(c).to_numpy(), count)) for c in ("row", "label", "n", "m"))], names=["token", "row", "label", "n", "m"])
 
 
-def tokens(batches: Iterator[pa.RecordBatch], shingle: int, late: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle by which a text is found."""
-    for b in batches:
-        rows, labels = b.column("row").to_numpy(), b.column("label").to_numpy()
-        sets = [shingles(t.as_py(), shingle) for t in b.column("text")]
-        found = []
-        for s in sets:
-            last = np.isin(s, late)
-            found.append(prefix(np.r_[s[~last], s[last]]))
-        n = np.array([len(x) for x in found], np.int64)
-        size = np.array([len(x) for x in sets], np.int64)
-        token = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(token), *(pa.array(np.repeat(x, n)) for x in (rows, labels, size))], names=["token", "row", "label", "n"])
-
-
-def token_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of texts that share a token, from rows sorted by token: texts a < b, their components, the smaller size."""
+def token_pairs(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by token: of a token's texts the pairs a < b that can be alike; of more than crowd texts each with the first, marked crowded."""
     for t in key_groups(batches, "token"):
-        token, row, label, n = (t.column(c).to_numpy() for c in ("token", "row", "label", "n"))
+        token, row, label, n, m = (t.column(c).to_numpy() for c in ("token", "row", "label", "n", "m"))
         order = np.lexsort((row, token))
-        row, label, n = row[order], label[order], n[order]
+        row, label, n, m = row[order], label[order], n[order], m[order]
         starts, sizes = runs(token[order])
+        size = np.repeat(sizes, sizes)
         left = np.repeat(starts + sizes, sizes) - np.arange(len(row)) - 1
-        ends = np.cumsum(left)
-        low = 0
-        while low < len(row):
-            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + 16 * CHUNK, side="right")))
-            m = left[low:high]
-            i = np.repeat(np.arange(low, high), m)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
-            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            ok = (label[i] != label[j]) & (LIKE[1] * small >= LIKE[0] * large)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row[i[ok]], row[j[ok]], label[i[ok]], label[j[ok]], small[ok])], names=["a", "b", "la", "lb", "n"])
-            low = high
-
-
-def verified(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """Components of the pairs whose sets of shingles are alike."""
+        a, b = [], []
+        for step in range(1, crowd):
+            i = np.flatnonzero((left >= step) & (size <= crowd))
+            ok = (label[i] != label[i + step]) & like_sizes(np.array([n[i], n[i + step]]), np.array([m[i], m[i + step]]))
+            a.append(row[i[ok]])
+            b.append(row[i[ok] + step])
+        few, i = sum(map(len, a)), np.flatnonzero(size > crowd)
+        a, b = np.concatenate([*a, np.repeat(row[starts], sizes)[i]]), np.concatenate([*b, row[i]])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) >= few)], names=["a", "b", "crowded"])
+
+
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set, over the digests that at least two of the sets have."""
+    values, places, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[places]
+    whose = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[column >= 0]
+    column = column[column >= 0]
+    out = np.zeros((len(sets), 1 + int(column.max(initial=0)) // 64), np.uint64)
+    np.bitwise_or.at(out, (whose, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+    return out
+
+
+def tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by block, a pair of tiles: the labels of alike texts, one from each tile (both from it, if it is one tile)."""
+    for t in key_groups(batches, "block", rows=1):
+        for at, size in zip(*(x.tolist() for x in runs(t.column("block").to_numpy())), strict=True):
+            one = t.slice(at, size)
+            label, n, m, tile = (one.column(c).to_numpy() for c in ("label", "n", "m", "tile"))
+            bits, links = bitmaps([np.frombuffer(x.as_buffer(), "<u8") for x in one.column("own")]), set()
+            several = tile.min() != tile.max()
+            for i in np.flatnonzero(tile == tile.min()).tolist():
+                j = np.flatnonzero((tile != tile[i]) & (label != label[i])) if several else i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+                j = j[like_sizes(np.array([np.full(len(j), n[i]), n[j]]), np.array([np.full(len(j), m[i]), m[j]]))]
+                both = np.bitwise_count(bits[j] & bits[i]).sum(axis=1, dtype=np.int64)
+                links |= {(int(label[i]), int(x)) for x in label[j[LIKE[1] * both >= LIKE[0] * (n[i] + n[j] - both)]]}
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def crowd_links(crowds: DataFrame, texts: DataFrame, tile_rows: int) -> DataFrame:
+    """Links (a, b) between the labels of alike texts of a crowd: texts that links (a, b) of crowds connect.
+
+    A crowd is cut into tiles; each pair of tiles goes to a task of its own, which compares bitmaps and makes no rows of pairs.
+    """
+    of = components(crowds).select(F.col("node").alias("_row"), F.col("label").alias("crowd"))
+    rows = materialize(texts.join(of, F.col("row") == F.col("_row")).drop("_row"), "crowds")
+    sizes = rows.groupBy("crowd").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("_tiles")).withColumnRenamed("crowd", "_crowd")
+    tiled = rows.join(sizes, F.col("crowd") == F.col("_crowd")).withColumn("tile", F.pmod(F.xxhash64("row", F.lit(3)), F.col("_tiles")).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda t: F.xxhash64("crowd", F.least(t, "tile"), F.greatest(t, "tile")))
+    dealt = tiled.select(F.explode(blocks).alias("block"), "tile", "label", "n", "m", "own")
+    tasks = shuffle_partitions(texts.sparkSession)
+    return dealt.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(lambda x: tidy(tile_links(x)), "a long, b long")
+
+
+def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets are alike, by label."""
     for b in batches:
         ok = []
-        for x, y in zip(b.column("ta"), b.column("tb"), strict=True):
-            x, y = shingles(x.as_py(), shingle), shingles(y.as_py(), shingle)
+        for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
             both = len(np.intersect1d(x, y, assume_unique=True))
             ok.append(LIKE[1] * both >= LIKE[0] * (len(x) + len(y) - both))
         yield b.select(["la", "lb"]).filter(pa.array(ok, pa.bool_())).rename_columns(["a", "b"])
 
 
-def alike_links(docs: DataFrame, labels: DataFrame, shingle: int) -> DataFrame:
-    """Links (a, b) between the components of texts (row, a digest of the text, and label) whose sets of shingles are alike."""
-    distinct = documents(docs).select(F.xxhash64("text").alias("row"), "text").dropDuplicates(["row"])
-    texts = materialize(distinct.join(labels.dropDuplicates(["row"]), "row"), "texts")
-    late, parts = frequent(texts, shingle), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = texts.mapInArrow(lambda batches: tidy(tokens(batches, shingle, late)), "token long, row long, label long, n long")
-    pairs = found.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(lambda batches: tidy(token_pairs(batches)), "a long, b long, la long, lb long, n long")
-    shared = pairs.groupBy("a", "b", "la", "lb", "n").count().where(F.col("count") >= 1 + F.floor(F.col("n") / 20)).drop("n", "count")
-    shared = materialize(shared, "pairs")
-    one = shared.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
-    both = one.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").select("la", "lb", "ta", "tb")
-    return both.mapInArrow(lambda batches: tidy(verified(batches, shingle)), "a long, b long")
+def linked_labels(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the labels of those pairs whose sets are alike."""
+    one = pairs.join(texts.select(F.col("row").alias("a"), F.col("own").alias("sa"), F.col("label").alias("la")), "a")
+    both = one.join(texts.select(F.col("row").alias("b"), F.col("own").alias("sb"), F.col("label").alias("lb")), "b").select("la", "lb", "sa", "sb")
+    return both.mapInArrow(lambda batches: tidy(verified(batches)), "a long, b long")
+
+
+def relabelled(rows: DataFrame, links: DataFrame, label: str = "label") -> DataFrame:
+    """rows with the labels of the components that links make of the old ones."""
+    joined = components(links).select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+    return rows.join(joined, rows[label] == joined["_node"], "left").withColumn(label, F.coalesce("_label", label)).drop("_node", "_label")
+
+
+def sets_of(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """row, n and the whole set (own) of the texts that have a row in rows."""
+    few = materialize(rows.select(F.col("row").alias("_row")), "rows")
+    found = documents(docs).select(F.xxhash64("text").alias("row"), "text")
+    found = found.join(F.broadcast(few) if few.count() <= FEW else few, F.col("row") == F.col("_row")).drop("_row").dropDuplicates(["row"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(list(digests(t.as_py(), shingle))) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["row", "n", "own"])
+
+    return found.mapInArrow(lambda batches: tidy(work(batches)), "row long, n long, own binary")
+
+
+def still_linked(texts: DataFrame, parts: int) -> DataFrame:
+    """The texts of whose set at least 4/5 stands in texts of other labels; m counts those digests."""
+    counts = shared_counts(texts, "own", parts).withColumnRenamed("row", "_row")
+    return texts.join(counts, F.col("row") == F.col("_row")).where(F.col("m") * LIKE[1] >= F.col("n") * LIKE[0]).select("row", "label", "n", "own", "m")
+
+
+def alike_labels(docs: DataFrame, own: DataFrame, labels: DataFrame, shingle: int) -> DataFrame:
+    """Links (a, b) between the labels (row, label) of texts whose sets are alike; own has row, n and first."""
+    parts, tasks = 1 << max(4, min(16, (input_bytes(docs) >> 22).bit_length())), shuffle_partitions(docs.sparkSession)
+    counts = shared_counts(own, "first", parts).withColumnRenamed("row", "_row")
+    sizes = own.select("row", "n").distinct()
+    found = sizes.join(counts, F.col("row") == F.col("_row")).where(F.col("m") >= 1 + F.floor(F.col("n") / 20))
+    texts = sets_of(docs, found, shingle)
+    texts = materialize(still_linked(materialize(texts.join(labels, "row"), "sets"), parts), "sets")
+    links = []
+    for k in range(ROUNDS):
+        keyed = texts.mapInArrow(lambda x, k=k: tidy(minima(x, k)), "key long, row long, label long, n long, m long")
+        stars = keyed.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(lambda x: tidy(star_pairs(x)), "a long, b long").distinct()
+        new = materialize(linked_labels(stars, texts), "links")
+        links.append(new)
+        texts = materialize(still_linked(relabelled(texts.drop("m"), new), parts), "sets")
+    found = texts.mapInArrow(lambda x: tidy(token_rows(x)), "token long, row long, label long, n long, m long")
+    pairs = found.repartition(tasks, "token").sortWithinPartitions("token").mapInArrow(lambda x: tidy(token_pairs(x, CROWD)), "a long, b long, crowded boolean")
+    pairs = materialize(pairs.distinct(), "pairs")
+    links.append(materialize(linked_labels(pairs.where("NOT crowded").select("a", "b"), texts), "links"))
+    links.append(materialize(crowd_links(pairs.where("crowded").select("a", "b"), texts, TILE), "links"))
+    return reduce(DataFrame.union, links)
 
 
 def fingerprint_links(fps: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
@@ -287,24 +441,24 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS, hot: int = HOT) -> DataF
 
 
 def near_classes(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, alike: bool = False) -> DataFrame:
-    """doc_id, fp and component_id, the least doc_id that links reach, of every row; alike also links by likeness of the shingles."""
-    own = materialize(fingerprints(docs, shingle, "row" if alike else None), "fingerprints")
-    first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = components(fingerprint_links(own.select("fp").distinct(), bits))
-    of = first.join(labels, first["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    of = materialize(of, "classes")
-    if alike:
-        joined = components(alike_links(docs, own.select("row", "fp").join(of.select("fp", "label"), "fp").select("row", "label"), shingle))
-        joined = joined.select("node", F.col("label").alias("_label"))
-        of = of.join(joined, of["label"] == joined["node"], "left").select("fp", "first", F.coalesce("_label", "label").alias("label"))
+    """doc_id, fp and component_id, the least doc_id that links reach, of every row; alike also links by likeness of the shingles, and gives row."""
+    with scratch(docs.sparkSession):
+        own = materialize(fingerprints(docs, shingle, alike), "fingerprints")
+        first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
+        labels = components(fingerprint_links(own.select("fp").distinct(), bits))
+        of = first.join(labels, first["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
         of = materialize(of, "classes")
-    least = of.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = of.join(least, "label").select(F.col("fp").alias("_fp"), "component_id")
-    return own.join(classes, own["fp"] == classes["_fp"]).select("doc_id", "fp", "component_id")
+        if alike:
+            by_text = own.select("row", "fp").distinct().join(of.select("fp", "label"), "fp").select("row", "label")
+            of = materialize(relabelled(of, alike_labels(docs, own, by_text, shingle)), "classes")
+        least = of.groupBy("label").agg(F.min("first").alias("component_id"))
+        classes = of.join(least, "label").select(F.col("fp").alias("_fp"), "component_id")
+        return materialize(own.join(classes, own["fp"] == classes["_fp"]).select("doc_id", "fp", "component_id", *["row"] * alike), "near", keep=True)
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, bits: int = BITS) -> DataFrame:
-    """The rows of docs that have the least doc_id of their class, by bits or likeness; rows that repeat a doc_id of one stay, rows without a doc_id too."""
+    """The rows of docs that have the least doc_id of their class, by bits or likeness; rows of a class that repeat that doc_id stay, rows without a doc_id too."""
     classes = near_classes(docs, shingle, bits, alike=True)
-    gone = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"), F.col("row").alias("_row")).distinct()
+    text = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(gone, (docs["doc_id"] == gone["_gone"]) & (text == gone["_row"]), "left_anti")
