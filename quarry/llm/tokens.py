@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 #: White space, one space, then white space or the end (RE2): the text is not cut at spaces.
 RUN = r"[\s\x0b\x1c-\x1f\x85\pZ] (?:[\s\x0b\x1c-\x1f\x85\pZ]|\z)"
-LIMIT = 150_000
+LIMIT = 250_000
 #: Up to here Unicode versions agree on what a letter is.
 LETTERS_BELOW = "ɐ"
 
@@ -84,8 +84,8 @@ class Encoder:
         first = cut.offsets.to_numpy()
         words = cut.flatten().dictionary_encode()
         first, which, names = first - first[0], words.indices.to_numpy().astype(np.int32), words.dictionary.to_pylist()
-        chunk = self.chunk
-        found = [chunk(c) for c in names]
+        chunk, known = self.chunk, self.cache.get
+        found = [known(c) or chunk(c) for c in names]
         # Nothing stands before the first chunk of a text, so it has ids of its own; those of an odd text are all of its ids.
         begins = [self.whole(texts[k].as_py() if o else names[w]) for k, (o, w) in enumerate(zip(odd.to_pylist(), which[first[:-1]].tolist(), strict=True))]
         which[first[:-1]] = len(found) + np.arange(len(begins), dtype=np.int32)
