@@ -1,8 +1,37 @@
 """The pipeline's stages one by one against plain Python, on the smallest tables."""
 
+import random
+
+import pytest
+
 import corpus_pipeline
-from quarry.llm import common
-from tests.llm.test_operators import brute_components, brute_simhash, brute_substrings
+from quarry.llm import common, near_dedup
+from tests.llm.test_operators import brute_simhash, brute_substrings
+
+
+def brute_near(texts):
+    """The least ids of what 4 bits or a likeness of 0.8 link, and how many pairs only the likeness links."""
+    words = {i: t.encode().lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    fp = {i: brute_simhash(t, 5) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    missed = 0
+    for i in root:
+        for j in root:
+            if j < i:
+                alike = bool(sets[i]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+                bits = (fp[i] ^ fp[j]).bit_count() <= 4
+                missed += alike and not bits
+                if alike or bits:
+                    x, y = sorted((find(i), find(j)))
+                    root[y] = x
+    return {i for i in root if find(i) == i}, missed
 
 
 def test_stages(spark, tiny):
@@ -14,12 +43,7 @@ def test_stages(spark, tiny):
             assert out.columns == docs.columns and all(r.n_chars == len(r.text) for r in out.collect())
         before, after = {r.doc_id: r.text for r in docs.collect()}, out.collect()
         if name == "near_dedup":
-            fp = {k: brute_simhash(t, 5) for k, t in before.items()}
-            comp = brute_components(fp.values(), 4)
-            keep = {}
-            for k in sorted(fp):
-                keep.setdefault(comp[fp[k]], k)
-            assert {r.doc_id for r in after} == set(keep.values())
+            assert {r.doc_id for r in after} == brute_near(before)[0]
         if name == "substring_dedup":
             removed = {d: n - g for d, n, g, _, _ in brute_substrings(list(before.items()))}
             assert all(0 <= removed[r.doc_id] - len(r.text.encode()) <= 6 for r in after)
@@ -39,11 +63,13 @@ def test_queries_are_registered():
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
 
 
-def test_near_stage_takes_every_likeness_from_four_fifths(spark):
-    import random
-
+@pytest.mark.parametrize("crowd, tile", [(16, 1024), (2, 8)])
+def test_near_stage_takes_every_likeness_from_four_fifths(spark, monkeypatch, crowd, tile):
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 2 if crowd > 2 else 0)
     rng = random.Random(8)
-    rows, sets = [], {}
+    rows = []
     for k in range(60):
         words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 400))]
         for copy in range(3):
@@ -52,25 +78,6 @@ def test_near_stage_takes_every_likeness_from_four_fifths(spark):
                 changed[rng.randrange(len(words))] = f"x{rng.randrange(3000)}"
             rows.append((len(rows), " ".join(changed)))
     rows += [(len(rows), "a few words"), (len(rows) + 1, "A  few words"), (len(rows) + 2, "")]
-    for i, t in rows:
-        w = t.lower().split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-    fp = {i: brute_simhash(t, 5) for i, t in rows}
-    root = {i: i for i, _ in rows}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    missed = 0
-    for i in root:
-        for j in range(i):
-            alike = bool(sets[i]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
-            bits = (fp[i] ^ fp[j]).bit_count() <= 4
-            missed += alike and not bits
-            if alike or bits:
-                x, y = sorted((find(i), find(j)))
-                root[y] = x
+    keep, missed = brute_near(dict(rows))
     out = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
-    assert missed > 20 and {r.doc_id for r in out.collect()} == {i for i in root if find(i) == i}
+    assert missed > 20 and {r.doc_id for r in out.collect()} == keep
