@@ -10,7 +10,7 @@ from quarry.queries.registry import QUERIES, SQL
 
 
 def _load() -> None:
-    from quarry.queries import claim, graph, ledger, rank, scan, select, text  # noqa: F401
+    from quarry.queries import claim, compile, graph, ledger, rank, scan, select, text  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
