@@ -233,23 +233,36 @@ def packed_digests(batches: Iterator[pa.RecordBatch], column: str, parts: int) -
             yield by_part(keys, of, parts, *(part.column(c).to_numpy()[at] for c in ("row", "label") if c in b.schema.names))
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each part of packed_digests(): how many digests a row has that others have too."""
+def counted(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+    """Of each part of packed_digests(), for each group of rows: how many digests a row has that others have too, packed."""
     for keys, ids in shared_keys_of(batches):
         order = np.lexsort((keys, ids))
         keys, ids = keys[order], ids[order]
         new = np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])][: len(ids)]
         row, m = np.unique(ids[new], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(m.astype(np.int64))], names=["row", "m"])
+        group = ((row.view(np.uint64) * MIX >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        row, m, group = row[order], m[order].astype("<i4"), group[order]
+        starts, sizes = runs(group)
+        cut = lambda x: pa.array([x[i : i + n].tobytes() for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)], pa.binary())  # noqa: E731, B023
+        yield pa.RecordBatch.from_arrays([pa.array(group[starts], pa.int32()), cut(row), cut(m)], names=["group", "rows", "ms"])
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of each row, from counted()'s groups, sorted by group."""
+    for t in key_groups(batches, "group", rows=1):
+        row, at = np.unique(np.frombuffer(b"".join(t.column("rows").to_pylist()), "<i8"), return_inverse=True)
+        m = np.bincount(at, np.frombuffer(b"".join(t.column("ms").to_pylist()), "<i4")).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(m)], names=["row", "m"])
 
 
 def shared_counts(texts: DataFrame, column: str, parts: int) -> DataFrame:
     """row and m: how many digests of the column stand in other rows (of another label, if texts have labels)."""
     labelled = "label" in texts.columns
     packed = texts.select("row", column, *["label"] * labelled).mapInArrow(lambda x: tidy(packed_digests(x, column, parts)), PACKED + ", labels binary" * labelled)
-    tasks = min(parts, max(16, shuffle_partitions(texts.sparkSession)))
-    found = packed.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(lambda x: tidy(counted(x)), "row long, m long")
-    return found.groupBy("row").agg(F.sum("m").alias("m"))
+    tasks = shuffle_partitions(texts.sparkSession)
+    found = packed.repartition(min(parts, max(16, tasks)), "part").sortWithinPartitions("part").mapInArrow(lambda x: tidy(counted(x, tasks)), "group int, rows binary, ms binary")
+    return found.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(lambda x: tidy(summed(x)), "row long, m long")
 
 
 def minima(batches: Iterator[pa.RecordBatch], round_: int) -> Iterator[pa.RecordBatch]:
