@@ -20,7 +20,9 @@ sorted to depth LENGTH only, so refinement stops there, and buckets of suffixes
 Strings are told apart by two identifiers of 64 bits, the bucket's and the depth LENGTH one; only within a bucket are they compared. With b
 different strings in a bucket, a false equality has a chance of b * b / 2**65 there: under 1e-6 in all for 1e12 strings in buckets of 10.
 
-A hot string costs a row for each document that has it, in packed form in step 2; no pairs are made anywhere. Each document
+A hot string costs a row for each document that has it, in packed form in step 2; no pairs are made anywhere. Of a bucket, or of equal runs, in
+several documents of one map task only representatives go to the bucket's task; the others are settled there and dealt by document, so that a hot
+bucket costs its task a few rows for each map task. Each document
 goes through one shuffle with its text; only those with a bucket left go on. Sort keys are buckets, spread over all tasks.
 
 Defined results: a null text is an empty one; texts under LENGTH bytes stay; rows without a doc_id stay as they are and remove nothing;
@@ -43,6 +45,8 @@ from quarry.llm.common import PACKED, bucketed, by_part, documents, input_bytes,
 LENGTH, Q = 50, 24
 PART_BYTES, CHUNK = 16 << 20, 1 << 18
 DOCS, ROWS = 60_000, 5_000  # documents of a group and rows of a chunk: together under the 65,536 that 16 bits number
+SALTS = 1024  # numbers that a part's known buckets are dealt over
+RUNS = 400_000  # runs compared within a task before they are dealt by bucket
 MOST = (1 << 22) - 1  # strings of a run: 22 bits of a packed run
 BYTES = splitmix(256, 7)
 M1, M2, S = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
@@ -150,16 +154,32 @@ def parts_for(docs: DataFrame) -> int:
 
 
 def packed_buckets(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """For each batch and part: the buckets (32 bits below those of the part) and the documents they stand in."""
+    """For each batch and part: the buckets (32 bits below those of the part) and the documents they stand in.
+
+    Of a bucket that several documents of a batch share, only the least and the greatest of them go to its part; all go to a part of
+    another number (parts * salt above), where the bucket is shared too. A hot bucket so costs its part two entries a batch.
+    """
     bits = parts.bit_length() - 1
     down = np.uint64(32 - bits)
     keys, whose, ids, size = [], [], [], 0
 
-    def out() -> pa.RecordBatch:
-        made = by_part(np.concatenate(keys), np.concatenate(whose), parts, np.array(ids, "<i8"))
+    def out() -> Iterator[pa.RecordBatch]:
+        key, of, doc = np.concatenate(keys), np.concatenate(whose), np.array(ids, "<i8")
+        order = np.lexsort((doc[of], key))
+        key, of = key[order], of[order]
+        starts, sizes = runs(key)
+        ends = starts + sizes - 1
+        shared = doc[of[starts]] != doc[of[ends]]
+        known = np.repeat(shared, sizes)
+        sent = ~known
+        sent[starts[shared]] = sent[ends[shared]] = True
+        yield by_part(key[sent], of[sent], parts, doc)
+        if known.any():
+            made = by_part(key[known], of[known], parts, doc)
+            salt = 1 + int(key[known].sum(dtype=np.uint64) % np.uint64(SALTS))
+            yield made.set_column(0, "part", pa.array(made.column("part").to_numpy() + parts * salt, pa.int32()))
         for x in (keys, whose, ids):
             x.clear()
-        return made
 
     for b in batches:
         for texts, doc_ids in chunks(b, "doc_id"):
@@ -175,15 +195,16 @@ def packed_buckets(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa
             ids += doc_ids.fill_null(0).to_pylist()
             size += sum(map(len, texts))
             if size >= 2 * PART_BYTES or len(ids) > DOCS:
-                yield out()
+                yield from out()
                 size = 0
     if ids:
-        yield out()
+        yield from out()
 
 
-def shared_buckets(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+def shared_buckets(batches: Iterator[pa.RecordBatch], groups: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Of each part, for each group of documents: the buckets that stand in other documents too, in packed form. Rows are sorted by part."""
     for keys, ids in shared_keys_of(batches):
+        keys &= np.uint64((parts << 32) - 1)
         group = (ids.view(np.uint64) * M1 >> np.uint64(33)).astype(np.int64) % groups
         order = np.argsort(group, kind="stable")
         starts, sizes = runs(group[order])
@@ -204,12 +225,29 @@ def document_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array([keys[i : i + m].tobytes() for i, m in zip(s.tolist(), n.tolist(), strict=True)], pa.binary())], names=["_id", "keys"])
 
 
-RUN_SCHEMA = "bucket long, first long, last long, rest long, doc_id long, row long, span long"
+RUN_SCHEMA = "bucket long, first long, last long, rest long, doc_id long, row long, span long, known boolean"
+
+
+def combined(columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Runs, of which those that a smaller document of this batch has too are known to be repeated: these are dealt by their document, not their bucket."""
+    bucket, first, last, rest, doc, row, span = columns
+    n = span & MOST
+    mixed = pair(pair(first.view(np.uint64), last.view(np.uint64)) + rest.view(np.uint64), bucket.view(np.uint64)) + n.astype(np.uint64)
+    order = np.lexsort((doc, mixed))
+    new = np.zeros(max(0, len(order) - 1), bool)
+    for x in (bucket, first, last, rest, n):
+        new |= x[order][1:] != x[order][:-1]
+    starts = np.flatnonzero(np.r_[True, new][: len(order)])
+    known = np.empty(len(order), bool)
+    known[order] = doc[order] > np.repeat(doc[order][starts], np.diff(np.r_[starts, len(order)]))
+    bucket = np.where(known, pair(doc.view(np.uint64), row.view(np.uint64)).view(np.int64), bucket)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, first, last, rest, doc, row, span, known)], names=[x.split()[0] for x in RUN_SCHEMA.split(", ")])
 
 
 def document_runs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """The runs whose bucket is shared; span has the first string and, in 22 bits, the number of strings."""
     down = np.uint64(32 - (parts.bit_length() - 1))
+    held: list[list[np.ndarray]] = []
     for b in batches:
         for texts, doc_ids, rows, keys in chunks(b, "doc_id", "row", "keys"):
             text, first, n, bucket, starts, b50 = string_runs(texts)
@@ -217,7 +255,12 @@ def document_runs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
             chosen = np.flatnonzero(np.isin(bucket >> down, shared))
             text, at, n = text[chosen], starts[chosen], n[chosen]
             keys = [x.view(np.int64) for x in (bucket[chosen], b50[at], b50[at + n - 1], between(at, n, b50))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, doc_ids.to_numpy()[text], rows.to_numpy()[text], first[chosen] << 22 | n)], names=[x.split()[0] for x in RUN_SCHEMA.split(", ")])
+            held.append([*keys, doc_ids.to_numpy()[text], rows.to_numpy()[text], first[chosen] << 22 | n])
+            if sum(len(x[0]) for x in held) >= RUNS:
+                yield combined([np.concatenate(c) for c in zip(*held, strict=True)])
+                held = []
+    if held:
+        yield combined([np.concatenate(c) for c in zip(*held, strict=True)])
 
 
 def by_row(doc: np.ndarray, row: np.ndarray, **lists: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
@@ -237,18 +280,20 @@ def by_row(doc: np.ndarray, row: np.ndarray, **lists: tuple[np.ndarray, np.ndarr
 def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs sorted by bucket; by document row, those wholly repeated (done) and representatives in buckets with several identifiers (todo)."""
     for t in key_groups(batches, "bucket"):
-        bucket, doc, span = (t.column(c).to_numpy() for c in ("bucket", "doc_id", "span"))
-        number = bucket_of = np.unique(bucket, return_inverse=True)[1]
-        for values in (span & MOST, *(t.column(c).to_numpy() for c in ("first", "last", "rest"))):
-            number = refine(number, values)
-        order = np.lexsort((doc, number))
-        starts, sizes = runs(number[order])
-        repeated = np.empty(len(doc), bool)
-        repeated[order] = doc[order] > np.repeat(doc[order][starts], sizes)
-        classes = np.bincount(bucket_of[order][starts], minlength=bucket_of.max() + 1)
-        is_open = ~repeated & (classes[bucket_of] > 1)
+        repeated = t.column("known").to_numpy().copy()
+        is_open, of = np.zeros(len(repeated), bool), np.flatnonzero(~repeated)
+        doc, span, row = (t.column(c).to_numpy() for c in ("doc_id", "span", "row"))
+        if len(of):
+            number = bucket_of = np.unique(t.column("bucket").to_numpy()[of], return_inverse=True)[1]
+            for values in (span & MOST, *(t.column(c).to_numpy() for c in ("first", "last", "rest"))):
+                number = refine(number, values[of])
+            order = np.lexsort((doc[of], number))
+            starts, sizes = runs(number[order])
+            repeated[of[order]] = doc[of][order] > np.repeat(doc[of][order][starts], sizes)
+            classes = np.bincount(bucket_of[order][starts], minlength=bucket_of.max() + 1)
+            is_open[of] = ~repeated[of] & (classes[bucket_of] > 1)
         chosen = np.flatnonzero(repeated | is_open)
-        yield by_row(doc[chosen], t.column("row").to_numpy()[chosen], done=(repeated[chosen], span[chosen]), todo=(is_open[chosen], span[chosen]))
+        yield by_row(doc[chosen], row[chosen], done=(repeated[chosen], span[chosen]), todo=(is_open[chosen], span[chosen]))
 
 
 def gathered(rows: DataFrame, *lists: str) -> DataFrame:
@@ -310,7 +355,7 @@ def without(data: bytes, removed: np.ndarray) -> tuple[bytes, int, int]:
 def shared_keys(rows: DataFrame, parts: int, tasks: int) -> DataFrame:
     """_id and keys, of each document that has shared buckets."""
     packed = rows.select("doc_id", "text").mapInArrow(lambda x: tidy(packed_buckets(x, parts)), PACKED)
-    shared = packed.repartition(min(parts, max(tasks, 16)), "part").sortWithinPartitions("part").mapInArrow(lambda x: tidy(shared_buckets(x, 4 * tasks)), "group int, ids binary, keys binary")
+    shared = packed.repartition(min(parts, max(tasks, 16)), "part").sortWithinPartitions("part").mapInArrow(lambda x: tidy(shared_buckets(x, 4 * tasks, parts)), "group int, ids binary, keys binary")
     return materialize(shared.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(lambda x: tidy(document_keys(x)), "_id long, keys binary"), "keys")
 
 

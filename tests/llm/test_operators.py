@@ -577,3 +577,21 @@ def test_substring_dedup_of_many_short_rows(spark):
     df = spark.createDataFrame(pa.table({"doc_id": pa.array([k for k, _ in rows], pa.int64()), "text": [t for _, t in rows]})).coalesce(1)
     out = substring_dedup.substring_dedup(df)
     assert [(r.doc_id, r.n_removed) for r in out.where("n_removed > 0").collect()] == [(66_000, len(passage))]
+
+
+def test_hot_passages_are_settled_in_map_tasks(spark):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    hot, other = word(160), word(90)
+    rows = [(rnd.randrange(70), word(rnd.randrange(40)) + hot[rnd.choice((0, 0, 0, 20)) :] + rnd.choice(("", other)) + word(rnd.randrange(40))) for _ in range(120)]
+    rows += [rows[3], rows[4], (999, hot * 3), (-5, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(tuple(r) for r in substring_dedup.substring_dedup(df).collect()) == brute_substrings(rows)
+
+
+def test_runs_combined_in_a_batch():
+    same = [7, 1, 2, 0]
+    rows = [[*same, 5, 50, 1 << 22 | 3], [*same, 4, 40, 9 << 22 | 3], [*same, 4, 41, 3], [*same, 6, 60, 4], [8, 1, 2, 0, 9, 90, 3]]
+    out = substring_dedup.combined([np.array(c, np.int64) for c in zip(*rows, strict=True)])
+    assert out.column("known").to_pylist() == [True, False, False, False, False]
+    assert out.column("bucket").to_pylist()[1:] == [7, 7, 7, 8] and substring_dedup.combined([np.zeros(0, np.int64)] * 7).num_rows == 0
