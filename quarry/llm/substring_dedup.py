@@ -40,13 +40,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import PACKED, bucketed, by_part, documents, input_bytes, key_groups, materialize, release, runs, shared_keys_of, splitmix, tidy
+from quarry.llm.common import PACKED, bucketed, by_part, documents, input_bytes, key_groups, materialize, release, runs, shared_keys_of, shuffle_partitions, splitmix, tidy
 
 LENGTH, Q = 50, 24
 PART_BYTES, CHUNK = 16 << 20, 1 << 18
 DOCS, ROWS = 60_000, 5_000  # documents of a group and rows of a chunk: together under the 65,536 that 16 bits number
 SALTS = 1024  # numbers that a part's known buckets are dealt over
-RUNS = 400_000  # runs compared within a task before they are dealt by bucket
+RUNS = 150_000  # runs compared within a task before they are dealt by bucket
 MOST = (1 << 22) - 1  # strings of a run: 22 bits of a packed run
 BYTES = splitmix(256, 7)
 M1, M2, S = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
@@ -149,8 +149,8 @@ def chunks(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
 
 
 def parts_for(docs: DataFrame) -> int:
-    """A power of two: tasks over which buckets are dealt, from the size of the input."""
-    return 1 << max(4, min(16, (2 * input_bytes(docs) // PART_BYTES).bit_length()))
+    """A power of two: parts over which buckets are dealt, from the size of the input; several for each task, so that tasks are alike."""
+    return 1 << max(4, min(16, max((2 * input_bytes(docs) // PART_BYTES).bit_length(), (4 * shuffle_partitions(docs.sparkSession)).bit_length() - 1)))
 
 
 def packed_buckets(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -164,12 +164,17 @@ def packed_buckets(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa
     keys, whose, ids, size = [], [], [], 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        key, of, doc = np.concatenate(keys), np.concatenate(whose), np.array(ids, "<i8")
-        order = np.lexsort((doc[of], key))
-        key, of = key[order], of[order]
+        doc, rank = np.unique(np.array(ids, "<i8"), return_inverse=True)
+        both = np.concatenate(keys)
+        both <<= np.uint64(16)  # a key has 48 bits at most
+        both |= rank[np.concatenate(whose)].astype(np.uint64)
+        for x in (keys, whose, ids):
+            x.clear()
+        both.sort()
+        key, of = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.uint16)
         starts, sizes = runs(key)
         ends = starts + sizes - 1
-        shared = doc[of[starts]] != doc[of[ends]]
+        shared = of[starts] != of[ends]
         known = np.repeat(shared, sizes)
         sent = ~known
         sent[starts[shared]] = sent[ends[shared]] = True
@@ -178,8 +183,6 @@ def packed_buckets(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa
             made = by_part(key[known], of[known], parts, doc)
             salt = 1 + int(key[known].sum(dtype=np.uint64) % np.uint64(SALTS))
             yield made.set_column(0, "part", pa.array(made.column("part").to_numpy() + parts * salt, pa.int32()))
-        for x in (keys, whose, ids):
-            x.clear()
 
     for b in batches:
         for texts, doc_ids in chunks(b, "doc_id"):
@@ -194,7 +197,7 @@ def packed_buckets(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa
             whose.append((text[new] + len(ids)).astype(np.uint16))
             ids += doc_ids.fill_null(0).to_pylist()
             size += sum(map(len, texts))
-            if size >= 2 * PART_BYTES or len(ids) > DOCS:
+            if size >= PART_BYTES or len(ids) > DOCS:
                 yield from out()
                 size = 0
     if ids:
@@ -241,6 +244,7 @@ def combined(columns: list[np.ndarray]) -> pa.RecordBatch:
     known = np.empty(len(order), bool)
     known[order] = doc[order] > np.repeat(doc[order][starts], np.diff(np.r_[starts, len(order)]))
     bucket = np.where(known, pair(doc.view(np.uint64), row.view(np.uint64)).view(np.int64), bucket)
+    first, last, rest = (np.where(known, 0, x) for x in (first, last, rest))  # not needed again
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, first, last, rest, doc, row, span, known)], names=[x.split()[0] for x in RUN_SCHEMA.split(", ")])
 
 
