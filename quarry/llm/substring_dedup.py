@@ -46,6 +46,7 @@ LENGTH, Q = 50, 24
 PART_BYTES, CHUNK = 16 << 20, 1 << 18
 DOCS, ROWS = 60_000, 5_000  # documents of a group and rows of a chunk: together under the 65,536 that 16 bits number
 SALTS = 1024  # numbers that a part's known buckets are dealt over
+KEYS = 1 << 20  # shared buckets of several parts that leave together
 RUNS = 150_000  # runs compared within a task before they are dealt by bucket
 MOST = (1 << 22) - 1  # strings of a run: 22 bits of a packed run
 BYTES = splitmix(256, 7)
@@ -205,14 +206,25 @@ def packed_buckets(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa
 
 
 def shared_buckets(batches: Iterator[pa.RecordBatch], groups: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Of each part, for each group of documents: the buckets that stand in other documents too, in packed form. Rows are sorted by part."""
-    for keys, ids in shared_keys_of(batches):
-        keys &= np.uint64((parts << 32) - 1)
+    """Of the parts of a task, by which rows are sorted, for each group of documents: the buckets that stand in other documents too, in packed form."""
+
+    def out(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
         group = (ids.view(np.uint64) * M1 >> np.uint64(33)).astype(np.int64) % groups
         order = np.argsort(group, kind="stable")
         starts, sizes = runs(group[order])
         rows = [order[i : i + n] for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(group[order][starts], pa.int32()), pa.array([ids[r].astype("<i8").tobytes() for r in rows], pa.binary()), pa.array([keys[r].astype("<u8").tobytes() for r in rows], pa.binary())], names=["group", "ids", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array(group[order][starts], pa.int32()), pa.array([ids[r].astype("<i8").tobytes() for r in rows], pa.binary()), pa.array([keys[r].astype("<u8").tobytes() for r in rows], pa.binary())], names=["group", "ids", "keys"])
+
+    held, n = [], 0
+    for keys, ids in shared_keys_of(batches):
+        held.append((keys & np.uint64((parts << 32) - 1), ids))
+        n += len(ids)
+        if n >= KEYS:
+            yield out(held)
+            held, n = [], 0
+    if held:
+        yield out(held)
 
 
 def document_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +371,7 @@ def without(data: bytes, removed: np.ndarray) -> tuple[bytes, int, int]:
 def shared_keys(rows: DataFrame, parts: int, tasks: int) -> DataFrame:
     """_id and keys, of each document that has shared buckets."""
     packed = rows.select("doc_id", "text").mapInArrow(lambda x: tidy(packed_buckets(x, parts)), PACKED)
-    shared = packed.repartition(min(parts, max(tasks, 16)), "part").sortWithinPartitions("part").mapInArrow(lambda x: tidy(shared_buckets(x, 4 * tasks, parts)), "group int, ids binary, keys binary")
+    shared = packed.repartition(min(parts, max(tasks, 16)), "part").sortWithinPartitions("part").mapInArrow(lambda x: tidy(shared_buckets(x, 2 * tasks, parts)), "group int, ids binary, keys binary")
     return materialize(shared.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(lambda x: tidy(document_keys(x)), "_id long, keys binary"), "keys")
 
 
