@@ -32,7 +32,7 @@ rows with the same doc_id do not remove each other's bytes; an empty table gives
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ LENGTH, Q = 50, 24
 PART_BYTES, CHUNK = 16 << 20, 1 << 18
 DOCS, ROWS = 60_000, 5_000  # documents of a group and rows of a chunk: together under the 65,536 that 16 bits number
 SALTS = 1024  # numbers that a part's known buckets are dealt over
-KEYS = 1 << 20  # shared buckets of several parts that leave together
+KEYS = 1 << 20  # shared buckets of several parts, or settled runs, that leave together
 RUNS = 150_000  # runs compared within a task before they are dealt by bucket
 MOST = (1 << 22) - 1  # strings of a run: 22 bits of a packed run
 BYTES = splitmix(256, 7)
@@ -279,22 +279,52 @@ def document_runs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
         yield combined([np.concatenate(c) for c in zip(*held, strict=True)])
 
 
-def by_row(doc: np.ndarray, row: np.ndarray, **lists: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    """A record for each (doc, row), with a list of the chosen values for each (chosen, values)."""
-    order = np.lexsort((row, doc))
-    doc, row = doc[order], row[order]
+def packed_rows(doc: np.ndarray, row: np.ndarray, groups: int, **lists: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """For each group of documents, packed: its (doc, row), and of each (chosen, values) how many chosen values each has, and these."""
+    group = ((pair(doc.view(np.uint64), row.view(np.uint64)) >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((row, doc, group))
+    doc, row, group = doc[order], row[order], group[order]
     starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])][: len(doc)])
-    names, columns = ["_doc", "_row"], [pa.array(doc[starts]), pa.array(row[starts])]
+    begin, sizes = runs(group[starts])
+    cut = lambda x, at: pa.array([x[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+    edges = np.r_[begin, begin[-1:] + sizes[-1:]]
+    names, columns = ["group", "docs", "rows"], [pa.array(group[starts[begin]], pa.int32()), cut(doc[starts].astype("<i8"), edges), cut(row[starts].astype("<i8"), edges)]
     for name, (chosen, values) in lists.items():
         chosen, values = chosen[order], values[order]
-        offsets = np.r_[0, np.cumsum(chosen)]
-        names.append(name)
-        columns.append(pa.ListArray.from_arrays(pa.array(offsets[np.r_[starts, len(doc)]], pa.int32()), pa.array(values[chosen])))
+        places = np.r_[0, np.cumsum(chosen)][np.r_[starts, len(doc)]]
+        names += [f"n_{name}", name]
+        columns += [cut(np.diff(places).astype("<i4"), edges), cut(values[chosen].astype("<i8"), places[edges])]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by bucket; by document row, those wholly repeated (done) and representatives in buckets with several identifiers (todo)."""
+def by_row(batches: Iterator[pa.RecordBatch], *lists: str) -> Iterator[pa.RecordBatch]:
+    """A record for each (_doc, _row) with its lists, from packed_rows() sorted by group."""
+    for t in key_groups(batches, "group", rows=1):
+        joined = lambda c, kind, t=t: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
+        doc, row = joined("docs", "<i8"), joined("rows", "<i8")
+        order = np.lexsort((row, doc))
+        new = np.r_[True, (doc[order][1:] != doc[order][:-1]) | (row[order][1:] != row[order][:-1])][: len(doc)]
+        starts = np.flatnonzero(new)
+        place = np.empty(len(doc), np.int64)
+        place[order] = np.cumsum(new) - 1
+        doc, row, found = doc[order][starts], row[order][starts], []
+        for c in lists:
+            whose, values = np.repeat(place, joined(f"n_{c}", "<i4")), joined(c, "<i8")
+            found.append((values[np.argsort(whose, kind="stable")], np.r_[0, np.cumsum(np.bincount(whose, minlength=len(doc)))]))
+        for k in range(0, len(doc), 10_000):
+            n = len(doc[k : k + 10_000])
+            cut = [pa.ListArray.from_arrays(pa.array(at[k : k + n + 1] - at[k], pa.int32()), pa.array(values[at[k] : at[k + n]])) for values, at in found]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[k : k + n]), pa.array(row[k : k + n]), *cut], names=["_doc", "_row", *lists])
+
+
+def refined(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+    """Runs sorted by bucket; those wholly repeated (done) and representatives in buckets with several identifiers (todo), packed by group of documents."""
+
+    def out(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        doc, row, span, done = (np.concatenate(x) for x in zip(*held, strict=True))
+        return packed_rows(doc, row, groups, done=(done, span), todo=(~done, span))
+
+    held, n = [], 0
     for t in key_groups(batches, "bucket"):
         repeated = t.column("known").to_numpy().copy()
         is_open, of = np.zeros(len(repeated), bool), np.flatnonzero(~repeated)
@@ -309,12 +339,19 @@ def refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             classes = np.bincount(bucket_of[order][starts], minlength=bucket_of.max() + 1)
             is_open[of] = ~repeated[of] & (classes[bucket_of] > 1)
         chosen = np.flatnonzero(repeated | is_open)
-        yield by_row(doc[chosen], row[chosen], done=(repeated[chosen], span[chosen]), todo=(is_open[chosen], span[chosen]))
+        held.append((doc[chosen], row[chosen], span[chosen], repeated[chosen]))
+        n += len(chosen)
+        if n >= KEYS:
+            yield out(held)
+            held, n = [], 0
+    if held:
+        yield out(held)
 
 
-def gathered(rows: DataFrame, *lists: str) -> DataFrame:
-    """A row for each _doc and _row, with its lists put together."""
-    return rows.groupBy("_doc", "_row").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in lists])
+def gathered(rows: DataFrame, step: Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBatch]], tasks: int, *lists: str) -> DataFrame:
+    """A row for each _doc and _row with its lists, from rows sorted for a step that makes packed_rows()."""
+    packed = rows.mapInArrow(lambda x: tidy(step(x, 2 * tasks)), "group int, docs binary, rows binary, " + ", ".join(f"n_{c} binary, {c} binary" for c in lists))
+    return packed.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(lambda x: tidy(by_row(x, *lists)), "_doc long, _row long, " + ", ".join(f"{c} array<long>" for c in lists))
 
 
 def covered(spans: np.ndarray, n: int) -> np.ndarray:
@@ -346,15 +383,27 @@ def open_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (string.view(np.int64), bucket.view(np.int64), doc_ids.to_numpy()[whose], rows.to_numpy()[whose])], names=["string", "bucket", "doc_id", "row"])
 
 
-def repeated_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by string, by document row: the strings of which the document is not the smallest that has them."""
+def repeated_strings(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by string: the strings of which the document is not the smallest that has them, packed by group of documents."""
+
+    def out(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        doc, row, string = (np.concatenate(x) for x in zip(*held, strict=True))
+        return packed_rows(doc, row, groups, strings=(np.ones(len(string), bool), string))
+
+    held, n = [], 0
     for t in key_groups(batches, "string"):
         string, doc = t.column("string").to_numpy(), t.column("doc_id").to_numpy()
         number = refine(np.unique(string, return_inverse=True)[1], t.column("bucket").to_numpy())
         least_of = np.full(number.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least_of, number, doc)
         later = doc > least_of[number]
-        yield by_row(doc[later], t.column("row").to_numpy()[later], strings=(np.ones(int(later.sum()), bool), string[later]))
+        held.append((doc[later], t.column("row").to_numpy()[later], string[later]))
+        n += len(held[-1][0])
+        if n >= KEYS:
+            yield out(held)
+            held, n = [], 0
+    if held:
+        yield out(held)
 
 
 def without(data: bytes, removed: np.ndarray) -> tuple[bytes, int, int]:
@@ -378,8 +427,7 @@ def shared_keys(rows: DataFrame, parts: int, tasks: int) -> DataFrame:
 def settled_runs(others: DataFrame, parts: int, tasks: int) -> DataFrame:
     """_doc, _row and packed runs: done (wholly repeated) and todo (to look into)."""
     found = others.select("doc_id", "row", "text", "keys").mapInArrow(lambda x: tidy(document_runs(x, parts)), RUN_SCHEMA)
-    settled = found.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda x: tidy(refined(x)), "_doc long, _row long, done array<long>, todo array<long>")
-    return materialize(gathered(settled, "done", "todo"), "runs")
+    return materialize(gathered(found.repartition(tasks, "bucket").sortWithinPartitions("bucket"), refined, tasks, "done", "todo"), "runs")
 
 
 def same_row(texts: DataFrame, found: DataFrame) -> Column:
@@ -392,8 +440,8 @@ def settled_strings(others: DataFrame, per_row: DataFrame, tasks: int) -> DataFr
     asked = per_row.where(F.size("todo") > 0)
     open_ = others.join(asked, same_row(others, asked)).select("doc_id", "row", "text", "todo")
     strings = open_.mapInArrow(lambda x: tidy(open_strings(x)), "string long, bucket long, doc_id long, row long")
-    later = strings.repartition(tasks, "string").sortWithinPartitions("string").mapInArrow(lambda x: tidy(repeated_strings(x)), "_doc long, _row long, strings array<long>")
-    return materialize(gathered(later, "strings").withColumnsRenamed({"_doc": "_d", "_row": "_r"}), "strings")
+    later = gathered(strings.repartition(tasks, "string").sortWithinPartitions("string"), repeated_strings, tasks, "strings")
+    return materialize(later.withColumnsRenamed({"_doc": "_d", "_row": "_r"}), "strings")
 
 
 def removals(docs: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:

@@ -595,3 +595,22 @@ def test_runs_combined_in_a_batch():
     out = substring_dedup.combined([np.array(c, np.int64) for c in zip(*rows, strict=True)])
     assert out.column("known").to_pylist() == [True, False, False, False, False]
     assert out.column("bucket").to_pylist()[1:] == [7, 7, 7, 8] and substring_dedup.combined([np.zeros(0, np.int64)] * 7).num_rows == 0
+
+
+def test_settled_runs_leave_in_groups_of_documents():
+    rng = np.random.default_rng(3)
+    n = 450_000  # several tables of key_groups()
+    bucket, doc = np.sort(rng.integers(0, 60_000, n)), rng.integers(0, 500, n)
+    zero, span = np.zeros(n, np.int64), rng.integers(0, 1 << 40, n) << 22 | 1
+    columns = [bucket, zero, zero, zero, doc, doc * 7, span, np.zeros(n, bool)]
+    names = [x.split()[0] for x in substring_dedup.RUN_SCHEMA.split(", ")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + 9_000]) for c in columns], names=names) for k in range(0, n, 9_000)]
+    packed = list(substring_dedup.refined(iter(batches), 8))
+    assert sum(b.num_rows for b in packed) <= 8 * len(packed) and len(packed) <= 1 + n // substring_dedup.KEYS
+    first = np.full(60_000, 500)
+    np.minimum.at(first, bucket, doc)
+    later = doc > first[bucket]
+    table = pa.Table.from_batches(packed).sort_by("group").to_batches()
+    rows = [r for b in substring_dedup.by_row(iter(table), "done", "todo") for r in b.to_pylist()]
+    assert len({r["_doc"] for r in rows}) == len(rows) and all(r["_row"] == 7 * r["_doc"] and not r["todo"] for r in rows)
+    assert sorted((r["_doc"], x) for r in rows for x in r["done"]) == sorted(zip(doc[later].tolist(), span[later].tolist(), strict=True))
