@@ -36,3 +36,23 @@ def test_layout_runs_all_ticks(spark, tiny):
     finally:
         analytics.layout = plain
     assert asked == [300] and rows
+
+
+def test_charge_is_that_of_all_pairs():
+    import numpy as np
+
+    from quarry.operators import analytics
+
+    rng = np.random.default_rng(1)
+    for xy in (rng.normal(0, 500, (1500, 2)), rng.normal(-3000, 5, (300, 2)), np.array([[0.0, 0], [280, 0], [560.1, 0], [-280, 0]]), np.zeros((1, 2)), np.zeros((0, 2))):
+        d = xy[None] - xy[:, None]
+        r2 = np.maximum((d**2).sum(axis=2), 1.0)
+        assert np.allclose(analytics.charge(xy, 280.0), (d * ((r2 <= 280.0**2) / r2)[:, :, None]).sum(axis=1), rtol=0, atol=1e-9)
+    k = np.arange(9000)
+    spread, seen, plain = np.stack([10 * np.sqrt(k) * np.cos(k * 2.4), 10 * np.sqrt(k) * np.sin(k * 2.4)], axis=1), [], np.maximum
+    try:
+        np.maximum = lambda a, b, **more: seen.append(np.size(a)) or plain(a, b, **more)
+        analytics.charge(spread, 280.0)
+    finally:
+        np.maximum = plain
+    assert sum(seen) < 9000**2 / 3
