@@ -46,17 +46,29 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _scopes.remove(paths)
         for x in paths:
-            path = spark._jvm.org.apache.hadoop.fs.Path(x)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, x)
+
+
+def delete(spark: SparkSession, x: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(x)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def step(spark: SparkSession) -> Iterator[None]:
+    """scratch() for a step of many: at its end its shuffle files go too."""
+    with scratch(spark):
+        yield
+    release(spark)
 
 
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write a table to the shared scratch folder and read it again: cuts lineage, survives executor loss."""
+    """Write a table to the shared scratch folder and read it again: cuts lineage, survives executor loss. A table that a scope keeps goes with the scope around it, if any."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    if _scopes and not keep:
-        _scopes[-1].append(path)
+    if len(_scopes) > keep:
+        _scopes[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,7 +76,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """materialize() a table that comes dealt out by key, in buckets: later joins on key don't shuffle it again."""
     spark = df.sparkSession
     table = f"quarry_{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(shuffle_partitions(spark), key).option("path", scratch_path(spark, name)).saveAsTable(table)
+    df.write.format("parquet").option("compression", "zstd").bucketBy(shuffle_partitions(spark), key).option("path", scratch_path(spark, name)).saveAsTable(table)
     return spark.table(table)
 
 

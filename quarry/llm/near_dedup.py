@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import PACKED, by_part, documents, input_bytes, key_groups, materialize, runs, scratch, shared_keys_of, shuffle_partitions, splitmix, tidy
+from quarry.llm.common import PACKED, by_part, documents, input_bytes, key_groups, materialize, runs, scratch, shared_keys_of, shuffle_partitions, splitmix, step, tidy
 from quarry.llm.components import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -414,24 +414,31 @@ def still_linked(texts: DataFrame, parts: int) -> DataFrame:
 
 def alike_labels(docs: DataFrame, own: DataFrame, labels: DataFrame, shingle: int) -> DataFrame:
     """Links (a, b) between the labels (row, label) of texts whose sets are alike; own has row, n and first."""
-    parts, tasks = 1 << max(4, min(16, (input_bytes(docs) >> 22).bit_length())), shuffle_partitions(docs.sparkSession)
-    counts = shared_counts(own, "first", parts).withColumnRenamed("row", "_row")
-    sizes = own.select("row", "n").distinct()
-    found = sizes.join(counts, F.col("row") == F.col("_row")).where(F.col("m") >= 1 + F.floor(F.col("n") / 20))
-    texts = sets_of(docs, found, shingle)
-    texts = materialize(still_linked(materialize(texts.join(labels, "row"), "sets"), parts), "sets")
+    spark = docs.sparkSession
+    parts, tasks = 1 << max(4, min(16, (input_bytes(docs) >> 22).bit_length())), shuffle_partitions(spark)
+    with step(spark):
+        counts = shared_counts(own, "first", parts).withColumnRenamed("row", "_row")
+        sizes = own.select("row", "n").distinct()
+        found = materialize(sizes.join(counts, F.col("row") == F.col("_row")).where(F.col("m") >= 1 + F.floor(F.col("n") / 20)), "rows", keep=True)
+    with step(spark):
+        with step(spark):
+            whole = materialize(sets_of(docs, found, shingle).join(labels, "row"), "sets", keep=True)
+        texts = materialize(still_linked(whole, parts), "sets", keep=True)
     links = []
     for k in range(ROUNDS):
-        keyed = texts.mapInArrow(lambda x, k=k: tidy(minima(x, k)), "key long, row long, label long, n long, m long")
-        stars = keyed.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(lambda x: tidy(star_pairs(x)), "a long, b long").distinct()
-        new = materialize(linked_labels(stars, texts), "links")
-        links.append(new)
-        texts = materialize(still_linked(relabelled(texts.drop("m"), new), parts), "sets")
-    found = texts.mapInArrow(lambda x: tidy(token_rows(x)), "token long, row long, label long, n long, m long")
-    pairs = found.repartition(tasks, "token").sortWithinPartitions("token").mapInArrow(lambda x: tidy(token_pairs(x, CROWD)), "a long, b long, crowded boolean")
-    pairs = materialize(pairs.distinct(), "pairs")
-    links.append(materialize(linked_labels(pairs.where("NOT crowded").select("a", "b"), texts), "links"))
-    links.append(materialize(crowd_links(pairs.where("crowded").select("a", "b"), texts, TILE), "links"))
+        with step(spark):
+            keyed = texts.mapInArrow(lambda x, k=k: tidy(minima(x, k)), "key long, row long, label long, n long, m long")
+            stars = keyed.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(lambda x: tidy(star_pairs(x)), "a long, b long").distinct()
+            new = materialize(linked_labels(stars, texts), "links", keep=True)
+            links.append(new)
+        with step(spark):
+            texts = materialize(still_linked(relabelled(texts.drop("m"), new), parts), "sets", keep=True)
+    with step(spark):
+        found = texts.mapInArrow(lambda x: tidy(token_rows(x)), "token long, row long, label long, n long, m long")
+        pairs = found.repartition(tasks, "token").sortWithinPartitions("token").mapInArrow(lambda x: tidy(token_pairs(x, CROWD)), "a long, b long, crowded boolean")
+        pairs = materialize(pairs.distinct(), "pairs")
+        links.append(materialize(linked_labels(pairs.where("NOT crowded").select("a", "b"), texts), "links", keep=True))
+        links.append(materialize(crowd_links(pairs.where("crowded").select("a", "b"), texts, TILE), "links", keep=True))
     return reduce(DataFrame.union, links)
 
 
@@ -457,10 +464,11 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, alik
     """doc_id, fp and component_id, the least doc_id that links reach, of every row; alike also links by likeness of the shingles, and gives row."""
     with scratch(docs.sparkSession):
         own = materialize(fingerprints(docs, shingle, alike), "fingerprints")
-        first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-        labels = components(fingerprint_links(own.select("fp").distinct(), bits))
-        of = first.join(labels, first["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-        of = materialize(of, "classes")
+        with step(docs.sparkSession):
+            first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
+            labels = components(fingerprint_links(own.select("fp").distinct(), bits))
+            of = first.join(labels, first["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+            of = materialize(of, "classes", keep=True)
         if alike:
             by_text = own.select("row", "fp").distinct().join(of.select("fp", "label"), "fp").select("row", "label")
             of = materialize(relabelled(of, alike_labels(docs, own, by_text, shingle)), "classes")

@@ -503,7 +503,7 @@ def substring_dedup(docs: DataFrame, *keep: str, with_text: bool = False) -> Dat
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated bytes taken out of text; characters that lose some of their bytes go. Texts that lose nothing stay, null ones too."""
-    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_all"))
-    out = substring_dedup(packed, "_all", with_text=True)
-    text = F.when(F.col("n_removed") == 0, F.col("_all")["text"]).otherwise(F.col("kept"))
-    return out.select(*[text.alias(c) if c == "text" else F.col("_all")[c].alias(c) for c in docs.columns])
+    rest = F.struct(F.col("text").isNull().alias("_null"), *[F.col(c).alias(f"_{c}") for c in docs.columns if c != "text"])
+    out = substring_dedup(docs.select("doc_id", "text", rest.alias("_rest")), "_rest", with_text=True)
+    text = F.when(~F.col("_rest")["_null"], F.col("kept"))
+    return out.select(*[text.alias(c) if c == "text" else F.col("_rest")[f"_{c}"].alias(c) for c in docs.columns])

@@ -614,3 +614,23 @@ def test_settled_runs_leave_in_groups_of_documents():
     rows = [r for b in substring_dedup.by_row(iter(table), "done", "todo") for r in b.to_pylist()]
     assert len({r["_doc"] for r in rows}) == len(rows) and all(r["_row"] == 7 * r["_doc"] and not r["todo"] for r in rows)
     assert sorted((r["_doc"], x) for r in rows for x in r["done"]) == sorted(zip(doc[later].tolist(), span[later].tolist(), strict=True))
+
+
+def test_texts_are_stored_once(spark, odd, monkeypatch):
+    seen, plain = [], substring_dedup.bucketed
+    monkeypatch.setattr(substring_dedup, "bucketed", lambda df, *a: seen.append(df.schema) or plain(df, *a))
+    kept = substring_dedup.without_repeats(odd)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.where("text IS NULL").collect()} == {r.doc_id for r in odd.where("text IS NULL").collect()}
+    assert seen[0].simpleString().count("text:") == 1
+
+
+def test_tables_of_a_step_go_with_it(spark):
+    there = lambda df: spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0])
+    found = lambda path: path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    with common.scratch(spark):
+        with common.step(spark):
+            gone, stays = there(common.materialize(spark.range(3), "gone")), there(common.materialize(spark.range(3), "stays", keep=True))
+            assert found(gone) and found(stays)
+        assert not found(gone) and found(stays)
+        kept = there(common.materialize(spark.range(3), "kept", keep=True))
+    assert not found(stays) and found(kept)
