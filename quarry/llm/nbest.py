@@ -4,8 +4,8 @@ A forward Viterbi pass gives every place of the lattice its best score from the
 exact best completion of every partial path, so A* pops complete paths best first: the first N are the N best.
 
 Score: the sum of the pieces' log-probabilities, a unigram model over the pieces of the model file, estimated by expectation maximisation
-(forward-backward sums over the same lattice) on the segments of a bounded sample: the TEXTS distinct texts with the least digests, CHARS code
-points of each, segments up to LONGEST. The file's own scores are merge ranks, whose sums mean nothing. Text is taken as it is, but for spaces,
+(forward-backward sums over the same lattice) on the segments of all texts, each as often as it occurs; segments above LONGEST are cut where no piece
+joins two characters. Expected counts are summed as whole numbers, so that partitions do not change them. The file's own scores are merge ranks, whose sums mean nothing. Text is taken as it is, but for spaces,
 which become space marks, and one in front; the file's normaliser is not applied. A character without a piece becomes its byte pieces at the score
 UNKNOWN below the least. Order: score, then fewer pieces, then as found from the end on.
 
@@ -15,7 +15,7 @@ difference between a place's best and next best way in. A document's N best chan
 these are searched by A*, and their lists combined. Segments above LONGEST go through the pass one by one, cut where no piece joins two characters.
 
 Defined results: a null or empty text has no pieces and one (empty) segmentation; a text with fewer than N segmentations has them all;
-equal texts have equal results; a sample without words gives all pieces one score; an empty table gives an empty table. Decoding gives the text back, byte by byte, save
+equal texts have equal results; a corpus without words gives all pieces one score; an empty table gives an empty table. Decoding gives the text back, byte by byte, save
 that the space mark itself decodes as a space.
 """
 
@@ -27,7 +27,7 @@ import zlib
 from array import array
 from bisect import insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +35,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, tidy
+from quarry.llm.common import documents, materialize, scratch, tidy
 from quarry.llm.tokens import vocabulary
 
 MARK, N, UNKNOWN, LIMIT = "▁", 3, 10.0, 120_000
-TEXTS, CHARS, LONGEST, EPOCHS, FLOOR = 300, 10_000, 64, 4, 0.01  # of the fit; FLOOR is added to the count of each piece
+LONGEST, EPOCHS, FLOOR, UNIT = 64, 4, 0.01, 1 << 20  # of the fit; FLOOR is added to the count of each piece
 COUNT = 2.0**-20  # what a piece costs in ties of scores
 BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -58,6 +58,11 @@ def string_digest(text: str) -> int:
     return h
 
 
+def uncommon(texts: pa.Array) -> pa.Array:
+    """Texts whose segments are not just what stands between single spaces."""
+    return pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.or_(pc.ends_with(texts, " "), pc.or_(pc.match_substring(texts, MARK), pc.equal(texts, ""))))
+
+
 class Lattice:
     """The pieces of a model, and the segments found so far (two bounded generations)."""
 
@@ -120,47 +125,60 @@ class Lattice:
                     out.append((i, j + 1, piece[0]))
         return out
 
+    def edges(self, names: list[str]) -> tuple[np.ndarray, ...]:
+        """Of segments, none empty: their sizes; and in the order of segments and places, of each piece in them the step from the start before, its length and id (OTHER: a character without a piece)."""
+        _, begin, size, place, start, end, piece = self.spans_all(names)
+        order = np.lexsort((end, start))
+        start, end, piece = start[order], end[order], piece[order]
+        text = start - place[start]
+        whose = np.searchsorted(begin, text)
+        return size, np.diff(start - whose, prepend=0), end - start, np.minimum(piece, OTHER)  # places as if no segment had an end of its own
+
+    def expected(self, edges: tuple[np.ndarray, ...], count: np.ndarray, scores: np.ndarray | None) -> np.ndarray:
+        """How often each piece is expected in segments that occur count times, in units of 1 / UNIT, whole so that their sums have no order; without scores each piece counts wherever it is."""
+        size, step, length, piece = edges
+        start = np.cumsum(step)
+        own = np.repeat(np.arange(len(size)), size)[start]
+        known = piece < OTHER
+        if scores is None:
+            found = np.ones(len(piece))
+        else:
+            first = np.cumsum(size) - size
+            at = start - first[own]
+            low = scores[self.known_ids()].min() - UNKNOWN
+            score = np.where(known, scores[np.where(known, piece, 0)], low)
+            node = start + own  # nodes of a segment: one more than its places
+            ahead, behind = (np.zeros(int(size.sum()) + len(size)) for _ in range(2))
+            for level, values, target, other in ((at + length, ahead, node + length, node), (-at, behind, node, node + length)):
+                order = np.argsort(level, kind="stable")
+                cuts = np.r_[np.flatnonzero(np.diff(level[order], prepend=level.min() - 1)), len(order)]
+                for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    e = order[i:j]
+                    v, t = score[e] + values[other[e]], target[e]
+                    groups = np.flatnonzero(np.diff(t, prepend=-1))
+                    top = np.maximum.reduceat(v, groups)
+                    v = np.exp(v - np.repeat(top, np.diff(np.r_[groups, len(t)])))
+                    values[t[groups]] = top + np.log(np.add.reduceat(v, groups))
+            found = np.exp(ahead[node] + score + behind[node + length] - behind[first + np.arange(len(size))][own])
+        return np.bincount(piece[known], np.rint(UNIT * found * count[own])[known], len(self.sizes))
+
+    def known_ids(self) -> list[int]:
+        return [k for k, _ in self.pieces.values()]
+
+    def estimated(self, expect: Callable[[np.ndarray | None], np.ndarray], epochs: int) -> np.ndarray:
+        """Log-probabilities by id, after as many epochs of expectation maximisation, from the counts of all pieces on; expect: as expected(), of all segments."""
+        known = np.zeros(len(self.sizes), bool)
+        known[self.known_ids()] = True
+        scores = None
+        for _ in range(epochs + 1):
+            p = np.where(known, expect(scores) / UNIT + FLOOR, 0.0)
+            scores = np.log(np.maximum(p / max(p.sum(), 1e-300), 1e-300))
+        return scores
+
     def fit(self, words: dict[str, int], epochs: int = EPOCHS) -> np.ndarray:
-        """Log-probabilities by id, after as many epochs of expectation maximisation over words and their counts, from the counts of all spans on."""
-        lattices = [(len(w), c, self.spans(w)) for w, c in words.items()]
-        size = len(self.sizes)
-        known = np.zeros(size, bool)
-        known[[k for k, _ in self.pieces.values()]] = True
-        counts = np.zeros(size)
-        for _, c, spans in lattices:
-            for _, _, k in spans:
-                counts[k] += c
-        for epoch in range(epochs + 1):
-            p = np.where(known, counts + FLOOR, 0.0)
-            p /= max(p.sum(), 1e-300)
-            if epoch == epochs:
-                break
-            of, counts = p.tolist(), [0.0] * size
-            least = np.exp(-UNKNOWN) * min(x for x in of if x) if known.any() else 1e-9
-            for n, c, spans in lattices:
-                ahead, behind = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-                alone = {i for i, j, _ in spans if j == i + 1}
-                at = 0
-                for i in range(n):
-                    here = ahead[i]
-                    if i not in alone:
-                        ahead[i + 1] += here * least
-                    while at < len(spans) and spans[at][0] == i:
-                        ahead[spans[at][1]] += here * of[spans[at][2]]
-                        at += 1
-                at = len(spans) - 1
-                for i in range(n - 1, -1, -1):
-                    total = 0.0 if i in alone else behind[i + 1] * least
-                    while at >= 0 and spans[at][0] == i:
-                        total += of[spans[at][2]] * behind[spans[at][1]]
-                        at -= 1
-                    behind[i] = total
-                if ahead[n] > 0:
-                    scale = c / ahead[n]
-                    for i, j, k in spans:
-                        counts[k] += scale * ahead[i] * of[k] * behind[j]
-            counts = np.array(counts)
-        return np.log(np.maximum(p, 1e-300))
+        """estimated() over words and their counts."""
+        edges, count = self.edges(list(words)), np.array(list(words.values()), float)
+        return self.estimated(lambda scores: self.expected(edges, count, scores), epochs)
 
     def forward(self, text: str) -> tuple[list[float], list[list[tuple[float, int, int]]]]:
         """Viterbi: the best score of each place, and the pieces that end there as (best score by way of it, where it starts, code)."""
@@ -253,8 +271,8 @@ class Lattice:
             self.lists[text] = found
         return found
 
-    def forward_all(self, names: list[str]) -> list[tuple[bytes, float, float]]:
-        """Of each segment, none empty: its best ids and score, and what its second best loses (infinite: there is none)."""
+    def spans_all(self, names: list[str]) -> tuple[np.ndarray, ...]:
+        """Of segments, none empty, joined with an end after each: codes, where each begins, its size, the place of each code; from, to and id of all pieces (OTHER and above: characters without a piece)."""
         codes = np.frombuffer("\0".join([*names, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
         size = np.fromiter(map(len, names), np.int64, len(names))
         begin = np.cumsum(size + 1) - size - 1
@@ -281,12 +299,15 @@ class Lattice:
         alone = ends_at.copy()
         alone[starts[0] if starts else []] = True
         other = np.flatnonzero(~alone)
-        c = codes[other]
-        scores = [self.score_of[x] for x in pieces] + [self.unknown - COUNT * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))]
         start = np.concatenate([*starts, other])
         end = start + np.concatenate([*lengths, np.ones(len(other), np.int64)])
-        piece = np.concatenate([*pieces, OTHER + c.astype(np.int64)])
-        score = np.concatenate(scores)
+        return codes, begin, size, place, start, end, np.concatenate([*pieces, OTHER + codes[other].astype(np.int64)])
+
+    def forward_all(self, names: list[str]) -> list[tuple[bytes, float, float]]:
+        """Of each segment, none empty: its best ids and score, and what its second best loses (infinite: there is none)."""
+        codes, begin, size, place, start, end, piece = self.spans_all(names)
+        c = np.maximum(piece - OTHER, 0)
+        score = np.where(piece < OTHER, self.score_of[np.where(piece < OTHER, piece, 0)], self.unknown - COUNT * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
         order = np.lexsort((start, end, place[start] + end - start))
         start, end, piece, score = start[order], end[order], piece[order], score[order]
         steps = np.r_[np.flatnonzero(np.diff(place[start] + end - start, prepend=-1)), len(start)]
@@ -391,7 +412,7 @@ class Lattice:
 
     def encode_all(self, texts: pa.Array) -> Iterator[list[tuple[float, bytes]]]:
         """encode() of every text; distinct words of the array are looked up once."""
-        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.or_(pc.ends_with(texts, " "), pc.or_(pc.match_substring(texts, MARK), pc.equal(texts, ""))))
+        odd = uncommon(texts)
         cut = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         offsets = cut.offsets.to_numpy().astype(np.int64)
         words = cut.flatten().dictionary_encode()
@@ -428,15 +449,58 @@ def lattice(path: str, n: int, scores: np.ndarray) -> Lattice:
     return _lattices[key]
 
 
-def sampled_words(docs: DataFrame) -> dict[str, int]:
-    """Segments and their counts, of the TEXTS distinct texts with the least digests."""
-    texts = documents(docs).select(F.xxhash64("text").alias("h"), "text")
-    chosen = [r["h"] for r in texts.select("h").distinct().orderBy("h").limit(TEXTS).collect()]
-    rows = texts.where(F.col("h").isin(chosen)).groupBy("h").agg(F.min(F.substring("text", 1, CHARS)).alias("text")).collect() if chosen else []
-    words: Counter = Counter()
-    for r in rows:
-        words.update(SEGMENT.findall(MARK + r["text"].replace(" ", MARK)) if r["text"] else [])
-    return {w: c for w, c in sorted(words.items()) if len(w) <= LONGEST}
+def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The segments of each batch and how often they occur."""
+    for b in batches:
+        for k in range(0, b.num_rows, 2048):
+            texts = b.column("text").slice(k, 2048)
+            odd = uncommon(texts)
+            plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ").flatten().value_counts()
+            more = Counter(w for t in texts.filter(odd).to_pylist() if t for w in SEGMENT.findall(MARK + t.replace(" ", MARK)))
+            words = [MARK + w for w in plain.field("values").to_pylist()] + list(more)
+            counts = plain.field("counts").to_pylist() + list(more.values())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["word", "n"])
+
+
+EDGES = {"size": "<u4", "step": "<u4", "length": "u1", "piece": "<u4", "count": "<i8"}
+
+
+def packed_edges(batches: Iterator[pa.RecordBatch], own: Lattice) -> Iterator[pa.RecordBatch]:
+    """edges() of words and their counts, packed; words above LONGEST are cut where no piece joins two characters."""
+    for b in batches:
+        for k in range(0, b.num_rows, CHUNK):
+            words, count = b.column("word").slice(k, CHUNK).to_pylist(), b.column("n").slice(k, CHUNK).to_pylist()
+            cut = [(w, c) for word, c in zip(words, count, strict=True) for w in ([word] if len(word) <= LONGEST else own.parts(word))]
+            arrays = *own.edges([w for w, _ in cut]), np.array([c for _, c in cut])
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(arrays, EDGES.values(), strict=True)], names=list(EDGES))
+
+
+def expected_counts(batches: Iterator[pa.RecordBatch], own: Lattice, scores: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """expected() of all segments of a task."""
+    total = np.zeros(len(own.sizes))
+    for b in batches:
+        for k in range(b.num_rows):
+            *edges, count = (np.frombuffer(b.column(c)[k].as_buffer(), kind).astype(np.int64) for c, kind in EDGES.items())
+            total += own.expected(tuple(edges), count.astype(float), scores)
+    ids = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids].astype(np.int64))], names=["piece", "n"])
+
+
+def fitted(docs: DataFrame, path: str, n: int) -> np.ndarray:
+    """estimated() over the segments of all texts."""
+    own = Lattice(path, n)
+    blank = np.full(len(own.sizes), -float(np.log(max(1, len(own.pieces)))))
+    words = documents(docs).select("text").mapInArrow(lambda x: tidy(counted_words(x)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    with scratch(docs.sparkSession):
+        table = materialize(words.mapInArrow(lambda x: tidy(packed_edges(x, lattice(path, n, blank))), ", ".join(f"{c} binary" for c in EDGES)), "edges")
+
+        def expect(scores: np.ndarray | None) -> np.ndarray:
+            found = table.mapInArrow(lambda x: tidy(expected_counts(x, lattice(path, n, blank), scores)), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+            out = np.zeros(len(own.sizes))
+            out[[r["piece"] for r in found]] = [r["n"] for r in found]
+            return out
+
+        return own.estimated(expect, EPOCHS)
 
 
 SCHEMA = "doc_id long, n_pieces long, ids_crc32 array<long>, scores array<double>, decoded_crc32 long, round_trip boolean"
@@ -445,7 +509,7 @@ SCHEMA = "doc_id long, n_pieces long, ids_crc32 array<long>, scores array<double
 def encode_documents(docs: DataFrame, path: str | None = None, n: int = N) -> DataFrame:
     """Of every row: pieces of the best segmentation; checksums of the ids and scores of the n best; the best one decoded again."""
     path = path or vocabulary("piece_bpe_32k.model")
-    scores = Lattice(path, n).fit(sampled_words(docs)).round(6)
+    scores = fitted(docs, path, n).round(6)
     types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int64(), pa.bool_()]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 

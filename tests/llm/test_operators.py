@@ -634,3 +634,36 @@ def test_tables_of_a_step_go_with_it(spark):
         assert not found(gone) and found(stays)
         kept = there(common.materialize(spark.range(3), "kept", keep=True))
     assert not found(stays) and found(kept)
+
+
+def test_the_fit_takes_every_word_of_every_text(spark):
+    path = tokens.vocabulary("piece_bpe_32k.model")
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "then", "there", "ion", "straße", "\u2603x"]) for _ in range(rng.randint(1, 30))) for _ in range(700)]
+    texts += ["x " * 6000 + "zebra", "  two  spaces ", None, "", "一二三" * 200 + "\u2603" * 80]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own, words = nbest.Lattice(path), Counter()
+    for t in filter(None, texts):
+        for w in nbest.SEGMENT.findall(nbest.MARK + t.replace(" ", nbest.MARK)):
+            words.update([w] if len(w) <= nbest.LONGEST else own.parts(w))
+    found, expect = (nbest.fitted(df.repartition(k), path, 3) for k in (1, 5))
+    assert (found == expect).all() and np.allclose(found, own.fit(words), rtol=0, atol=1e-9)
+    assert found[own.pieces[nbest.MARK + "x"][0]] > -1.5  # 6,000 words beyond any prefix
+
+
+def test_expected_counts_against_all_segmentations():
+    own = nbest.Lattice(tokens.vocabulary("piece_bpe_32k.model"))
+    words, scores = {nbest.MARK + "there": 3, nbest.MARK + "a\u2603n": 2, nbest.MARK: 1}, np.random.default_rng(2).normal(-8, 2, len(own.sizes))
+    low, plain = scores[own.known_ids()].min() - nbest.UNKNOWN, np.zeros(len(own.sizes))
+    for w, c in words.items():
+        spans = own.spans(w)
+        spans += [(i, i + 1, -1) for i in range(len(w)) if (i, i + 1) not in {(x, y) for x, y, _ in spans}]
+        def paths(i):
+            return [[]] if i == len(w) else [[s, *rest] for s in spans if s[0] == i for rest in paths(s[1])]
+        weights = [(np.exp(sum(scores[k] if k >= 0 else low for *_, k in path)), path) for path in paths(0)]
+        for weight, path in weights:
+            for *_, k in path:
+                if k >= 0:
+                    plain[k] += c * weight / sum(x for x, _ in weights)
+    found = own.expected(own.edges(list(words)), np.array(list(words.values()), float), scores) / nbest.UNIT
+    assert np.allclose(found, plain, rtol=0, atol=1e-4) and plain.sum() > 6
