@@ -170,9 +170,16 @@ def shared_keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
             yield keys[shared].astype(np.uint64) | part << np.uint64(32), ids[shared]
 
 
-def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a task makes; after its end the worker, which lives on, gives freed memory back to the system."""
-    yield from batches
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """A cache that a worker process keeps from task to task, for as long as its tasks hold it (tidy)."""
+    return _caches.setdefault(name, {})
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     gc.collect()
     try:
@@ -181,6 +188,17 @@ def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pass
 
 
+def tidy(batches: Iterator[pa.RecordBatch], *held: str) -> Iterator[pa.RecordBatch]:
+    """What a task makes. A worker lives on after a task: caches not held by the next one go before it begins, freed memory goes after it."""
+    left = [c for name, c in _caches.items() if c and name not in held]
+    for c in left:
+        c.clear()
+    if left:
+        trim()
+    yield from batches
+    trim()
+
+
 def splitmix(n: int, seed: int) -> np.ndarray:
     """n pseudo-random 64-bit values, the same on every machine."""
     with np.errstate(over="ignore"):

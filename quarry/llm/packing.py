@@ -242,9 +242,9 @@ def repacked(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.R
 
 def pack_rows(rows: DataFrame, items, limits: Limits) -> DataFrame:
     """One row per piece of the items that items(batches) makes of each partition's rows; sequence_id is unique. See SCHEMA."""
-    first = materialize(rows.mapInArrow(lambda batches: tidy(packed(items(batches), limits)), SCHEMA + ", _ids binary, _spans array<long>"), "packed")
+    first = materialize(rows.mapInArrow(lambda batches: tidy(packed(items(batches), limits), "encoders"), SCHEMA + ", _ids binary, _spans array<long>"), "packed")
     tails = first.where("_ids IS NOT NULL").repartition("sequence_id").sortWithinPartitions("sequence_id", "doc_id", "start", "doc_tokens", "_ids")
-    return first.where("_ids IS NULL").select(*NAMES).union(tails.mapInArrow(lambda batches: tidy(repacked(batches, limits)), SCHEMA))
+    return first.where("_ids IS NULL").select(*NAMES).union(tails.mapInArrow(lambda batches: tidy(repacked(batches, limits), "encoders"), SCHEMA))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, limits: Limits = Limits()) -> DataFrame:

@@ -147,7 +147,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 2, size
     rows = documents(docs)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(lambda batches: tidy(segments(batches, path, end_id, size)), SEGMENT_SCHEMA), name)
+    return materialize(ordered.mapInArrow(lambda batches: tidy(segments(batches, path, end_id, size), "encoders"), SEGMENT_SCHEMA), name)
 
 
 def read_documents(written: DataFrame) -> DataFrame:

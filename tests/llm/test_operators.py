@@ -667,3 +667,22 @@ def test_expected_counts_against_all_segmentations():
                     plain[k] += c * weight / sum(x for x, _ in weights)
     found = own.expected(own.edges(list(words)), np.array(list(words.values()), float), scores) / nbest.UNIT
     assert np.allclose(found, plain, rtol=0, atol=1e-4) and plain.sum() > 6
+
+
+def test_chunks_of_letters_and_signs_share_their_words():
+    own = tokens.Encoder(tokens.vocabulary())
+    rng = random.Random(5)
+    texts = ["zu alpha alpha, alpha.\nalpha? alpha; (alpha) alpha."] + ["".join(rng.choice("abÉɏɐªº .,,..\n\n'’\"0²½漢-_#*\u0085\x1c!¡«") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    ids, at = own.encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
+    one = tokens.Encoder(tokens.vocabulary())
+    one.encode(pa.array(texts[:1]))
+    assert set(one.cache) == {" zu", " alpha", "alpha"}
+
+
+def test_a_task_lets_go_of_caches_that_others_left():
+    kept = common.worker_cache("encoders")
+    kept["x"] = 1
+    assert list(common.tidy(iter([1]), "encoders")) == [1] and kept == {"x": 1}
+    assert list(common.tidy(iter([1]))) == [1] and not kept
