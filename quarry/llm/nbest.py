@@ -4,7 +4,7 @@ A forward Viterbi pass gives every place of the lattice its best score from the
 exact best completion of every partial path, so A* pops complete paths best first: the first N are the N best.
 
 Score: the sum of the pieces' log-probabilities, a unigram model over the pieces of the model file, estimated by expectation maximisation
-(forward-backward sums over the same lattice) on the segments of all texts, each as often as it occurs; segments above LONGEST are cut where no piece
+(forward-backward sums over the same lattice) on the segments of all texts, each as often as it occurs, cut where no piece
 joins two characters. Expected counts are summed as whole numbers, so that partitions do not change them. The file's own scores are merge ranks, whose sums mean nothing. Text is taken as it is, but for spaces,
 which become space marks, and one in front; the file's normaliser is not applied. A character without a piece becomes its byte pieces at the score
 UNKNOWN below the least. Order: score, then fewer pieces, then as found from the end on.
@@ -12,7 +12,7 @@ UNKNOWN below the least. Order: score, then fewer pieces, then as found from the
 No piece goes on past the space mark in front of a word, so at space marks the lattice falls into segments. The forward pass runs over all
 new segments of a batch at once (Lattice.forward_all): it gives their best paths, and what their second best lose: on the best path, the least
 difference between a place's best and next best way in. A document's N best change few segments, those of the N - 1 least losses; only
-these are searched by A*, and their lists combined. Segments above LONGEST go through the pass one by one, cut where no piece joins two characters.
+these are searched by A*, and their lists combined. Segments are cut where no piece joins two characters, and parts above LONGEST go through the pass one by one.
 
 Defined results: a null or empty text has no pieces and one (empty) segmentation; a text with fewer than N segmentations has them all;
 equal texts have equal results; a corpus without words gives all pieces one score; an empty table gives an empty table. Decoding gives the text back, byte by byte, save
@@ -35,11 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, materialize, scratch, tidy
+from quarry.llm.common import documents, materialize, scratch, tidy, worker_cache
 from quarry.llm.tokens import vocabulary
 
 MARK, N, UNKNOWN, LIMIT = "▁", 3, 10.0, 120_000
 LONGEST, EPOCHS, FLOOR, UNIT = 64, 4, 0.01, 1 << 20  # of the fit; FLOOR is added to the count of each piece
+LEAN, SAFE = 2.5, 1e150
 COUNT = 2.0**-20  # what a piece costs in ties of scores
 BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -63,6 +64,12 @@ def uncommon(texts: pa.Array) -> pa.Array:
     return pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.or_(pc.ends_with(texts, " "), pc.or_(pc.match_substring(texts, MARK), pc.equal(texts, ""))))
 
 
+def chosen_edges(chosen: np.ndarray, size: np.ndarray, start: np.ndarray, length: np.ndarray, own: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sizes of chosen segments, and start, length, segment and score of their edges, as if there were no others."""
+    e, less = chosen[own], np.cumsum(size * ~chosen)
+    return size[chosen], start[e] - less[own[e]], length[e], (np.cumsum(chosen) - 1)[own[e]], score[e]
+
+
 class Lattice:
     """The pieces of a model, and the segments found so far (two bounded generations)."""
 
@@ -135,7 +142,10 @@ class Lattice:
         return size, np.diff(start - whose, prepend=0), end - start, np.minimum(piece, OTHER)  # places as if no segment had an end of its own
 
     def expected(self, edges: tuple[np.ndarray, ...], count: np.ndarray, scores: np.ndarray | None) -> np.ndarray:
-        """How often each piece is expected in segments that occur count times, in units of 1 / UNIT, whole so that their sums have no order; without scores each piece counts wherever it is."""
+        """How often each piece is expected in segments that occur count times, in units of 1 / UNIT, whole so that their sums have no order; without scores each piece counts wherever it is.
+
+        Sums of products, each character's scaled by LEAN; segments of which these leave the range SAFE are summed by their logarithms.
+        """
         size, step, length, piece = edges
         start = np.cumsum(step)
         own = np.repeat(np.arange(len(size)), size)[start]
@@ -143,25 +153,53 @@ class Lattice:
         if scores is None:
             found = np.ones(len(piece))
         else:
-            first = np.cumsum(size) - size
-            at = start - first[own]
             low = scores[self.known_ids()].min() - UNKNOWN
             score = np.where(known, scores[np.where(known, piece, 0)], low)
             node = start + own  # nodes of a segment: one more than its places
+            first = np.cumsum(size) - size + np.arange(len(size))
+            level = node - first[own] + length
+            order = np.argsort(level.astype(np.uint16) if level.max(initial=0) < 1 << 16 else level, kind="stable")
+            source, p = node[order], np.exp(score + LEAN * length)[order]
+            target = source + length[order]
+            groups = np.flatnonzero(np.diff(target, prepend=-1))
+            cuts = np.r_[np.flatnonzero(np.diff(level[order], prepend=-1)), len(order)]
+            at = np.searchsorted(groups, cuts)
             ahead, behind = (np.zeros(int(size.sum()) + len(size)) for _ in range(2))
-            for level, values, target, other in ((at + length, ahead, node + length, node), (-at, behind, node, node + length)):
-                order = np.argsort(level, kind="stable")
-                cuts = np.r_[np.flatnonzero(np.diff(level[order], prepend=level.min() - 1)), len(order)]
-                for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    e = order[i:j]
-                    v, t = score[e] + values[other[e]], target[e]
-                    groups = np.flatnonzero(np.diff(t, prepend=-1))
-                    top = np.maximum.reduceat(v, groups)
-                    v = np.exp(v - np.repeat(top, np.diff(np.r_[groups, len(t)])))
-                    values[t[groups]] = top + np.log(np.add.reduceat(v, groups))
-            found = np.exp(ahead[node] + score + behind[node + length] - behind[first + np.arange(len(size))][own])
+            ahead[first] = behind[first + size] = 1.0
+            steps = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True))
+            for i, j, k, m in steps:
+                ahead[target[groups[k:m]]] = np.add.reduceat(p[i:j] * ahead[source[i:j]], groups[k:m] - i)
+            for i, j, *_ in reversed(steps):
+                np.add.at(behind, source[i:j], p[i:j] * behind[target[i:j]])
+            total = ahead[first + size]
+            found = np.empty(len(piece))
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                found[order] = ahead[source] * p * behind[target] / total[own[order]]
+            if len(size):
+                narrow = np.minimum(np.minimum.reduceat(ahead, first), np.minimum.reduceat(behind, first)) < 1 / SAFE
+                narrow |= np.maximum(np.maximum.reduceat(ahead, first), np.maximum.reduceat(behind, first)) > SAFE
+                if narrow.any():
+                    found[narrow[own]] = self.by_logarithms(*chosen_edges(narrow, size, start, length, own, score))
         return np.bincount(piece[known], np.rint(UNIT * found * count[own])[known], len(self.sizes))
 
+    def by_logarithms(self, size: np.ndarray, start: np.ndarray, length: np.ndarray, own: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """How often each edge is expected, in whatever range."""
+        first = np.cumsum(size) - size
+        at = start - first[own]
+        node = start + own  # nodes of a segment: one more than its places
+        ahead, behind = (np.zeros(int(size.sum()) + len(size)) for _ in range(2))
+        for level, values, target, other in ((at + length, ahead, node + length, node), (-at, behind, node, node + length)):
+            order = np.argsort(level, kind="stable")
+            cuts = np.r_[np.flatnonzero(np.diff(level[order], prepend=level.min() - 1)), len(order)]
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                e = order[i:j]
+                v, t = score[e] + values[other[e]], target[e]
+                groups = np.flatnonzero(np.diff(t, prepend=-1))
+                top = np.maximum.reduceat(v, groups)
+                v = np.exp(v - np.repeat(top, np.diff(np.r_[groups, len(t)])))
+                values[t[groups]] = top + np.log(np.add.reduceat(v, groups))
+        return np.exp(ahead[node] + score + behind[node + length] - behind[first + np.arange(len(size))][own])
+
     def known_ids(self) -> list[int]:
         return [k for k, _ in self.pieces.values()]
 
@@ -264,8 +302,7 @@ class Lattice:
         """The n best of a segment."""
         found = self.lists.get(text)
         if found is None:
-            parts = [text] if len(text) <= LONGEST else self.parts(text)
-            found = self.merged([[(score, self.packed(codes)) for score, codes in self.search(p)] for p in parts])
+            found = self.merged([[(score, self.packed(codes)) for score, codes in self.search(p)] for p in self.parts(text)])
             if len(self.lists) >= self.limit // 8:
                 self.lists.clear()
             self.lists[text] = found
@@ -341,32 +378,37 @@ class Lattice:
         return list(zip(ids, total.tolist(), loss.tolist(), strict=True))
 
     def segments(self, names: list[str]) -> list[tuple[bytes, float, float]]:
-        """forward_all() of segments; what is found is kept for the next time."""
-        cache, older = self.cache, self.older
-        found = [cache.get(x) for x in names]
+        """forward_all() of segments, by their parts: many segments have these in common. What is found for a part is kept for the next time."""
+        found = [self.cache.get(x) for x in names]
         missing = [k for k, f in enumerate(found) if f is None]
-        new = []
-        for k in missing:
-            found[k] = older.get(names[k])
-            if found[k] is None:
-                new.append(k)
-        for k in range(0, len(new), CHUNK):
-            part = [i for i in new[k : k + CHUNK] if len(names[i]) <= LONGEST]
-            for i, f in zip(part, self.forward_all([names[i] for i in part]) if part else [], strict=True):
-                found[i] = f
-        for k in new:
-            if found[k] is None:
-                found[k] = self.long(names[k])
-        for k in missing:
-            if len(self.cache) >= self.limit:
-                self.cache, self.older = {}, self.cache
-            self.cache[names[k]] = found[k]
+        cut = [self.parts(names[k]) for k in missing]
+        whole = self.whole(list(dict.fromkeys([p for c in cut for p in c])))
+        for k, c in zip(missing, cut, strict=True):
+            of = [whole[p] for p in c]
+            found[k] = of[0] if len(of) == 1 else (b"".join([f[0] for f in of]), sum([f[1] for f in of]), min([f[2] for f in of]))
         return found
 
-    def long(self, text: str) -> tuple[bytes, float, float]:
-        """A long segment: the sum of its parts."""
-        found = [self.search(p) for p in self.parts(text)]
-        return b"".join([self.packed(f[0][1]) for f in found]), sum([f[0][0] for f in found]), min([f[0][0] - f[1][0] for f in found if len(f) > 1], default=float("inf"))
+    def whole(self, names: list[str]) -> dict[str, tuple[bytes, float, float]]:
+        """forward_all() of different parts; those above LONGEST go one by one."""
+        found, new = {}, []
+        for x in names:
+            f = self.cache.get(x) or self.older.get(x)
+            found[x] = f
+            if f is None:
+                new.append(x)
+        for k in range(0, len(new), CHUNK):
+            part = [x for x in new[k : k + CHUNK] if len(x) <= LONGEST]
+            found.update(zip(part, self.forward_all(part) if part else [], strict=True))
+        for x in new:
+            if found[x] is None:
+                best = self.search(x)
+                found[x] = self.packed(best[0][1]), best[0][0], best[0][0] - best[1][0] if len(best) > 1 else float("inf")
+        for x in names:
+            if x not in self.cache:
+                if len(self.cache) >= self.limit:
+                    self.cache, self.older = {}, self.cache
+                self.cache[x] = found[x]
+        return found
 
     def encode(self, text: str) -> list[tuple[float, bytes]]:
         """The n best of a whole text: (score, ids as little-endian unsigned 32-bit)."""
@@ -416,7 +458,7 @@ class Lattice:
         cut = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         offsets = cut.offsets.to_numpy().astype(np.int64)
         words = cut.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = self.segments([MARK + w for w in names])
         which = words.indices.to_numpy()
         losses = np.array([f[2] for f in found])[which]
@@ -437,7 +479,7 @@ class Lattice:
             yield self.combined(ids[first : ends[j - 1]].tobytes(), float(scores[i:j].sum()), losses[i:j], 4 * (ends[i:j] - first), of)
 
 
-_lattices: dict[tuple[str, int, bytes], Lattice] = {}
+_lattices: dict[tuple[str, int, bytes], Lattice] = worker_cache("lattices")
 
 
 def lattice(path: str, n: int, scores: np.ndarray) -> Lattice:
@@ -449,29 +491,31 @@ def lattice(path: str, n: int, scores: np.ndarray) -> Lattice:
     return _lattices[key]
 
 
-def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The segments of each batch and how often they occur."""
+def counted_words(batches: Iterator[pa.RecordBatch], own: Lattice) -> Iterator[pa.RecordBatch]:
+    """The parts of the segments of each batch and how often they occur."""
     for b in batches:
         for k in range(0, b.num_rows, 2048):
             texts = b.column("text").slice(k, 2048)
             odd = uncommon(texts)
             plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ").flatten().value_counts()
             more = Counter(w for t in texts.filter(odd).to_pylist() if t for w in SEGMENT.findall(MARK + t.replace(" ", MARK)))
-            words = [MARK + w for w in plain.field("values").to_pylist()] + list(more)
-            counts = plain.field("counts").to_pylist() + list(more.values())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=["word", "n"])
+            words = [MARK + w for w in plain.field("values").to_numpy(zero_copy_only=False).tolist()] + list(more)
+            counts: dict[str, int] = {}
+            for w, n in zip(words, plain.field("counts").to_pylist() + list(more.values()), strict=True):
+                for p in own.parts(w):
+                    counts[p] = counts.get(p, 0) + n
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
 
 EDGES = {"size": "<u4", "step": "<u4", "length": "u1", "piece": "<u4", "count": "<i8"}
 
 
 def packed_edges(batches: Iterator[pa.RecordBatch], own: Lattice) -> Iterator[pa.RecordBatch]:
-    """edges() of words and their counts, packed; words above LONGEST are cut where no piece joins two characters."""
+    """edges() of parts and their counts, packed."""
     for b in batches:
         for k in range(0, b.num_rows, CHUNK):
             words, count = b.column("word").slice(k, CHUNK).to_pylist(), b.column("n").slice(k, CHUNK).to_pylist()
-            cut = [(w, c) for word, c in zip(words, count, strict=True) for w in ([word] if len(word) <= LONGEST else own.parts(word))]
-            arrays = *own.edges([w for w, _ in cut]), np.array([c for _, c in cut])
+            arrays = *own.edges(words), np.array(count)
             yield pa.RecordBatch.from_arrays([pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(arrays, EDGES.values(), strict=True)], names=list(EDGES))
 
 
@@ -490,12 +534,12 @@ def fitted(docs: DataFrame, path: str, n: int) -> np.ndarray:
     """estimated() over the segments of all texts."""
     own = Lattice(path, n)
     blank = np.full(len(own.sizes), -float(np.log(max(1, len(own.pieces)))))
-    words = documents(docs).select("text").mapInArrow(lambda x: tidy(counted_words(x)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = documents(docs).select("text").mapInArrow(lambda x: tidy(counted_words(x, lattice(path, n, blank)), "lattices"), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     with scratch(docs.sparkSession):
-        table = materialize(words.mapInArrow(lambda x: tidy(packed_edges(x, lattice(path, n, blank))), ", ".join(f"{c} binary" for c in EDGES)), "edges")
+        table = materialize(words.mapInArrow(lambda x: tidy(packed_edges(x, lattice(path, n, blank)), "lattices"), ", ".join(f"{c} binary" for c in EDGES)), "edges")
 
         def expect(scores: np.ndarray | None) -> np.ndarray:
-            found = table.mapInArrow(lambda x: tidy(expected_counts(x, lattice(path, n, blank), scores)), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+            found = table.mapInArrow(lambda x: tidy(expected_counts(x, lattice(path, n, blank), scores), "lattices"), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
             out = np.zeros(len(own.sizes))
             out[[r["piece"] for r in found]] = [r["n"] for r in found]
             return out
@@ -525,4 +569,4 @@ def encode_documents(docs: DataFrame, path: str | None = None, n: int = N) -> Da
                     out.append((doc_id, len(best[0][1]) // 4, [zlib.crc32(x) for _, x in best], [s for s, _ in best], zlib.crc32(data), same))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return documents(docs).mapInArrow(lambda batches: tidy(work(batches)), SCHEMA)
+    return documents(docs).mapInArrow(lambda batches: tidy(work(batches), "lattices"), SCHEMA)

@@ -686,3 +686,25 @@ def test_a_task_lets_go_of_caches_that_others_left():
     kept["x"] = 1
     assert list(common.tidy(iter([1]), "encoders")) == [1] and kept == {"x": 1}
     assert list(common.tidy(iter([1]))) == [1] and not kept
+
+
+def test_segments_share_their_parts():
+    own = nbest.Lattice(tokens.vocabulary("piece_bpe_32k.model"))
+    list(own.encode_all(pa.array(["zu ofering, ofering.\nofering ofering?"])))
+    assert {nbest.MARK + "ofering", ",", "\n"} <= set(own.cache) and not any("," in x and len(x) > 1 for x in own.cache)
+    counts = Counter()
+    for b in nbest.counted_words(iter([pa.RecordBatch.from_pydict({"text": ["zu ofering, ofering.", "ofering"]})]), own):
+        counts.update(dict(zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True)))
+    assert counts == {nbest.MARK + "zu": 1, nbest.MARK + "ofering": 3, ",": 1, ".": 1}
+
+
+def test_expected_counts_beyond_the_range_of_products():
+    own, rng = nbest.Lattice(tokens.vocabulary("piece_bpe_32k.model")), np.random.default_rng(3)
+    scores = rng.normal(-40, 9, len(own.sizes))
+    names = ["there" * 12, nbest.MARK + "the", "\u2603" * 60, "ion"]
+    edges = own.edges(names)
+    size, step, length, piece = edges
+    start, low = np.cumsum(step), scores[own.known_ids()].min() - nbest.UNKNOWN
+    whose = np.repeat(np.arange(4), size)[start]
+    logs = own.by_logarithms(size, start, length, whose, np.where(piece < nbest.OTHER, scores[np.where(piece < nbest.OTHER, piece, 0)], low))
+    assert np.abs(np.bincount(piece[piece < nbest.OTHER], logs[piece < nbest.OTHER], len(own.sizes)) - own.expected(edges, np.ones(4), scores) / nbest.UNIT).max() < 1e-4
