@@ -4,15 +4,14 @@ A forward Viterbi pass gives every place of the lattice its best score from the
 exact best completion of every partial path, so A* pops complete paths best first: the first N are the N best.
 
 Score: the sum of the pieces' log-probabilities, a unigram model over the pieces of the model file, estimated by expectation maximisation
-(forward-backward sums over the same lattice) on the segments of all texts, each as often as it occurs, cut where no piece
-joins two characters. Expected counts are summed as whole numbers, so that partitions do not change them. The file's own scores are merge ranks, whose sums mean nothing. Text is taken as it is, but for spaces,
+(forward-backward sums over the same lattice) on the parts of all texts, each as often as it occurs. Expected counts are summed as whole numbers, so that partitions do not change them. The file's own scores are merge ranks, whose sums mean nothing. Text is taken as it is, but for spaces,
 which become space marks, and one in front; the file's normaliser is not applied. A character without a piece becomes its byte pieces at the score
 UNKNOWN below the least. Order: score, then fewer pieces, then as found from the end on.
 
-No piece goes on past the space mark in front of a word, so at space marks the lattice falls into segments. The forward pass runs over all
-new segments of a batch at once (Lattice.forward_all): it gives their best paths, and what their second best lose: on the best path, the least
-difference between a place's best and next best way in. A document's N best change few segments, those of the N - 1 least losses; only
-these are searched by A*, and their lists combined. Segments are cut where no piece joins two characters, and parts above LONGEST go through the pass one by one.
+A text is cut wherever no piece joins two characters, as before the space mark of a word. The cut (Lattice.cut_all) and the count of different
+parts are array operations on a slice of texts. The forward pass runs over all new parts of a slice at once (Lattice.forward_all): it gives their best paths, and what their second best lose: on the best path, the least
+difference between a place's best and next best way in. A document's N best change few parts, those of the N - 1 least losses; only
+these are searched by A*, and their lists combined. Parts above LONGEST go through the pass one by one.
 
 Defined results: a null or empty text has no pieces and one (empty) segmentation; a text with fewer than N segmentations has them all;
 equal texts have equal results; a corpus without words gives all pieces one score; an empty table gives an empty table. Decoding gives the text back, byte by byte, save
@@ -26,8 +25,9 @@ import re
 import zlib
 from array import array
 from bisect import insort
-from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +35,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, materialize, scratch, tidy, worker_cache
+from quarry.llm.common import documents, materialize, scratch, tidy, trim, worker_cache
 from quarry.llm.tokens import vocabulary
 
-MARK, N, UNKNOWN, LIMIT = "▁", 3, 10.0, 120_000
+MARK, N, UNKNOWN, LIMIT = "▁", 3, 10.0, 80_000
 LONGEST, EPOCHS, FLOOR, UNIT = 64, 4, 0.01, 1 << 20  # of the fit; FLOOR is added to the count of each piece
 LEAN, SAFE = 2.5, 1e150
 COUNT = 2.0**-20  # what a piece costs in ties of scores
@@ -47,7 +47,10 @@ SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 OTHER = 1 << 24  # codes from here on are characters that become byte pieces
 
 
-STEP, CHUNK = np.uint64(0x9E3779B97F4A7C15), 20_000
+STEP, CHUNK = np.uint64(0x9E3779B97F4A7C15), 10_000
+SLICE, NEAR, BITS = 2 << 20, 0x250, 18  # bytes of texts taken at once; characters below NEAR have their pairs in a table; first bits of a digest that have an index
+
+Best = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # of parts: how many ids the best segmentation has, these in a row, its score, what the second best loses (infinite: there is none)
 
 
 def string_digest(text: str) -> int:
@@ -59,9 +62,20 @@ def string_digest(text: str) -> int:
     return h
 
 
-def uncommon(texts: pa.Array) -> pa.Array:
-    """Texts whose segments are not just what stands between single spaces."""
-    return pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.or_(pc.ends_with(texts, " "), pc.or_(pc.match_substring(texts, MARK), pc.equal(texts, ""))))
+def chosen(best: Best, which: np.ndarray) -> Best:
+    n, ids, total, loss = best
+    m = n[which]
+    return m, ids[np.repeat(np.cumsum(n)[which] - np.cumsum(m), m) + np.arange(m.sum())], total[which], loss[which]
+
+
+def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """From and to of rows in a row that have so many bytes together, or are one."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
 
 
 def chosen_edges(chosen: np.ndarray, size: np.ndarray, start: np.ndarray, length: np.ndarray, own: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -71,14 +85,14 @@ def chosen_edges(chosen: np.ndarray, size: np.ndarray, start: np.ndarray, length
 
 
 class Lattice:
-    """The pieces of a model, and the segments found so far (two bounded generations)."""
+    """The pieces of a model, and the best of the parts found so far (two bounded generations)."""
 
     def __init__(self, path: str, n: int = N, limit: int = LIMIT, scores: np.ndarray | None = None):
         """scores: a log-probability for each id; by default those of no sample, all alike."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.n, self.limit, self.cache, self.older = n, limit, {}, {}
+        self.n, self.limit = n, limit
         self.pieces, self.bytes_of, self.byte_ids = {}, [], {}
         for k in range(model.get_piece_size()):
             piece = model.id_to_piece(k)
@@ -90,33 +104,58 @@ class Lattice:
             else:
                 self.pieces[piece] = (k, 0.0)
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
-        self.score_by(np.full(model.get_piece_size(), -float(np.log(max(1, len(self.pieces))))) if scores is None else scores)
+        by = {}
+        for p, (k, _) in self.pieces.items():
+            for j in range(1, len(p)):
+                by.setdefault(string_digest(p[:j]), -1)
+            by[string_digest(p)] = k
+        #: Digests of all beginnings of pieces, the piece that each is, if any, and where those of the same first bits begin.
+        self.digests = np.array([*sorted(by), (1 << 64) - 1], np.uint64)
+        self.piece_of = np.array([*(by[d] for d in sorted(by)), -1], np.int64)
+        self.first = np.searchsorted(self.digests, np.arange(1 << BITS, dtype=np.uint64) << np.uint64(64 - BITS)).astype(np.int32)
+        self.score_by(self.alike() if scores is None else scores)
         self.pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces):
             raise ValueError("pieces that go on past a space mark are not supported")
+        codes = np.array([[ord(c) for c in x] for x in self.pairs], np.uint64).reshape(-1, 2)
+        self.far = np.sort(np.append(codes[:, 0] << np.uint64(21) | codes[:, 1], np.uint64(1 << 63)))
+        self.near = np.zeros((NEAR + 2, NEAR + 2), bool)
+        codes = np.where(codes == ord(MARK), NEAR + 1, np.minimum(codes, NEAR)).astype(np.int64)
+        codes = codes[(codes != NEAR).all(1)]
+        self.near[codes[:, 0], codes[:, 1]] = True
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.sizes = np.array([len(b) for b in self.bytes_of], np.int64)
         self.begin = np.cumsum(self.sizes) - self.sizes
 
+    def alike(self) -> np.ndarray:
+        return np.full(len(self.bytes_of), -float(np.log(max(1, len(self.pieces)))))
+
     def score_by(self, scores: np.ndarray) -> None:
-        """Pieces get their scores by id; root is a trie of (next letters, id and score less COUNT of what ends here, if it is a piece)."""
-        self.cache, self.older, self.lists, self.root = {}, {}, {}, {}
+        """Pieces get their scores by id; what was found by others goes."""
+        self.cache: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+        self.best = self.older_best = self.none()
+        self.lists: dict[str, list[tuple[float, bytes]]] = {}
+        self.scores = scores
         self.pieces = {p: (k, float(scores[k])) for p, (k, _) in self.pieces.items()}
         self.unknown = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN
-        for p, (k, score) in self.pieces.items():
-            node = self.root
+        self.score_of = np.asarray(scores, float) - COUNT
+        self.costs = self.score_of.tolist()
+
+    @staticmethod
+    def none() -> Best:
+        return np.zeros(0, np.int32), np.zeros(0, "<u4"), np.zeros(0), np.zeros(0)
+
+    @cached_property
+    def root(self) -> dict:
+        """A trie of (next letters, id of what ends here, if it is a piece)."""
+        root: dict = {}
+        for p, (k, _) in self.pieces.items():
+            node = root
             for c in p[:-1]:
                 node = node.setdefault(c, ({}, None))[0]
-            node[p[-1]] = (node.get(p[-1], ({}, None))[0], (k, score - COUNT))
-        by = {}
-        for p, (k, _) in self.pieces.items():
-            for j in range(1, len(p)):
-                by.setdefault(string_digest(p[:j]), -1)
-            by[string_digest(p)] = k
-        #: Digests of all beginnings of pieces, and the piece that each is, if any.
-        self.digests = np.array(sorted(by), np.uint64)
-        self.piece_of = np.array([by[d] for d in sorted(by)], np.int64)
-        self.score_of = np.asarray(scores, float) - COUNT
+            node[p[-1]] = (node.get(p[-1], ({}, None))[0], k)
+        return root
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """All pieces in a text: from, to, id."""
@@ -129,13 +168,13 @@ class Lattice:
                     break
                 node, piece = step
                 if piece is not None:
-                    out.append((i, j + 1, piece[0]))
+                    out.append((i, j + 1, piece))
         return out
 
     def edges(self, names: list[str]) -> tuple[np.ndarray, ...]:
         """Of segments, none empty: their sizes; and in the order of segments and places, of each piece in them the step from the start before, its length and id (OTHER: a character without a piece)."""
         _, begin, size, place, start, end, piece = self.spans_all(names)
-        order = np.lexsort((end, start))
+        order = np.argsort(start << 8 | end - start)
         start, end, piece = start[order], end[order], piece[order]
         text = start - place[start]
         whose = np.searchsorted(begin, text)
@@ -232,8 +271,8 @@ class Lattice:
                     break
                 node, piece = step
                 if piece is not None:
-                    v = here + piece[1]
-                    ends[j + 1].append((v, i, piece[0]))
+                    v = here + self.costs[piece]
+                    ends[j + 1].append((v, i, piece))
                     if v > best[j + 1]:
                         best[j + 1] = v
                     alone |= j == i
@@ -280,32 +319,53 @@ class Lattice:
     def packed(self, suffix: tuple) -> bytes:
         return array("I", self.ids(reversed(suffix))).tobytes()
 
-    def merged(self, lists: list[list[tuple[float, bytes]]]) -> list[tuple[float, bytes]]:
-        """The n best of parts in a row."""
-        out = lists[0]
-        for other in lists[1:]:
-            sums = [(a + b, i, j) for i, (a, _) in enumerate(out) for j, (b, _) in enumerate(other) if (i + 1) * (j + 1) <= self.n]
-            out = [(s, out[i][1] + other[j][1]) for s, i, j in sorted(sums, key=lambda x: (-x[0], x[2], x[1]))[: self.n]]
+    def joined(self, codes: np.ndarray) -> np.ndarray:
+        """Of each character: whether a piece joins it to the one before."""
+        i = np.minimum(codes, NEAR).astype(np.int32)
+        i[codes == ord(MARK)] = NEAR + 1
+        out = np.zeros(len(codes), bool)
+        out[1:] = self.near.ravel()[i[:-1] * (NEAR + 2) + i[1:]]
+        far = i == NEAR
+        far = np.flatnonzero(far[1:] | far[:-1])
+        key = codes[far].astype(np.uint64) << np.uint64(21) | codes[far + 1]
+        out[far + 1] = self.far[np.searchsorted(self.far, key)] == key
         return out
 
     def parts(self, text: str) -> list[str]:
-        """A segment, cut where no piece joins its characters."""
-        pairs = self.pairs
-        if text[1:].isalpha():  # few pairs of letters are without a piece: not worth a look
-            return [text]
-        if text[1:-1].isalpha() and text[-2:] not in pairs:
-            return [text[:-1], text[-1]]
-        cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in pairs]
-        return [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)] if cuts else [text]
-
-    def listed(self, text: str) -> list[tuple[float, bytes]]:
-        """The n best of a segment."""
-        found = self.lists.get(text)
+        """A string, cut where no piece joins its characters."""
+        cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.pairs]
+        return [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+
+    def cut_all(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """parts() of all texts, each but the empty ones with a space mark in front; and the place of each text's first, and of the end."""
+        found, counts = [pa.array([], pa.string())], [np.zeros(1, np.int64)]
+        for at, to in slices(texts, SLICE // 2):
+            some = texts.slice(at, to - at)
+            marked = pc.binary_join_element_wise(pc.if_else(pc.equal(some, ""), "", MARK), pc.replace_substring(some, " ", MARK), "")
+            offsets = np.frombuffer(marked.buffers()[1], np.int32)[marked.offset : marked.offset + len(marked) + 1]
+            first = offsets[:-1] - offsets[0]
+            if offsets[0] == offsets[-1]:
+                counts.append(np.zeros(len(some), np.int64))
+                continue
+            data = marked.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
+            whole = np.frombuffer(data, np.uint8)
+            cut = ~self.joined(np.frombuffer(str(data, "utf-8").encode("utf-32-le"), "<u4"))
+            begin = np.zeros(len(whole) + 1, bool)
+            begin[np.flatnonzero(whole & 0xC0 != 0x80)[cut]] = True
+            begin[first] = begin[-1] = True
+            begin = np.flatnonzero(begin).astype(np.int32)
+            found.append(pa.StringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin), data))
+            counts.append(np.diff(np.searchsorted(begin, np.append(first, len(whole)))))
+        return pa.concat_arrays(found), np.cumsum(np.concatenate(counts))
+
+    def listed(self, part: str) -> list[tuple[float, bytes]]:
+        """The n best of a part."""
+        found = self.lists.get(part)
         if found is None:
-            found = self.merged([[(score, self.packed(codes)) for score, codes in self.search(p)] for p in self.parts(text)])
+            found = [(score, self.packed(codes)) for score, codes in self.search(part)]
             if len(self.lists) >= self.limit // 8:
                 self.lists.clear()
-            self.lists[text] = found
+            self.lists[part] = found
         return found
 
     def spans_all(self, names: list[str]) -> tuple[np.ndarray, ...]:
@@ -324,7 +384,11 @@ class Lattice:
             h = (h ^ codes[at + length].astype(np.uint64)) * STEP
             h ^= h >> np.uint64(32)
             length += 1
-            where = np.minimum(np.searchsorted(self.digests, h), len(self.digests) - 1)
+            where = self.first[h >> np.uint64(64 - BITS)]
+            late = np.flatnonzero(self.digests[where] < h)
+            while len(late):
+                where[late] += 1
+                late = late[self.digests[where[late]] < h[late]]
             ok = self.digests[where] == h
             at, h, where = at[ok], h[ok], where[ok]
             piece = self.piece_of[where]
@@ -340,14 +404,15 @@ class Lattice:
         end = start + np.concatenate([*lengths, np.ones(len(other), np.int64)])
         return codes, begin, size, place, start, end, np.concatenate([*pieces, OTHER + codes[other].astype(np.int64)])
 
-    def forward_all(self, names: list[str]) -> list[tuple[bytes, float, float]]:
-        """Of each segment, none empty: its best ids and score, and what its second best loses (infinite: there is none)."""
+    def forward_all(self, names: list[str]) -> Best:
+        """The best of parts, none empty."""
         codes, begin, size, place, start, end, piece = self.spans_all(names)
         c = np.maximum(piece - OTHER, 0)
         score = np.where(piece < OTHER, self.score_of[np.where(piece < OTHER, piece, 0)], self.unknown - COUNT * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
-        order = np.lexsort((start, end, place[start] + end - start))
-        start, end, piece, score = start[order], end[order], piece[order], score[order]
-        steps = np.r_[np.flatnonzero(np.diff(place[start] + end - start, prepend=-1)), len(start)]
+        level = place[start] + end - start
+        order = np.argsort(level << 40 | end << 8 | 255 - (end - start))
+        start, end, piece, score, level = start[order], end[order], piece[order], score[order], level[order]
+        steps = np.r_[np.flatnonzero(np.diff(level, prepend=-1)), len(start)]
         best, gap, back, by = np.zeros(len(codes)), np.full(len(codes), np.inf), np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
         for i, j in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
             v, e = best[start[i:j]] + score[i:j], end[i:j]
@@ -370,68 +435,54 @@ class Lattice:
         whose, piece = (np.concatenate(x[::-1]) for x in zip(*found, strict=True))
         order = np.argsort(whose, kind="stable")
         whose, piece = whose[order], piece[order]
-        odd = set(whose[piece >= OTHER].tolist())
-        flat, cuts = piece.astype("<u4").tobytes(), (4 * np.searchsorted(whose, np.arange(len(names) + 1))).tolist()
-        ids = [flat[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-        for k in odd:
-            ids[k] = array("I", self.ids(piece[cuts[k] // 4 : cuts[k + 1] // 4].tolist())).tobytes()
-        return list(zip(ids, total.tolist(), loss.tolist(), strict=True))
-
-    def segments(self, names: list[str]) -> list[tuple[bytes, float, float]]:
-        """forward_all() of segments, by their parts: many segments have these in common. What is found for a part is kept for the next time."""
-        found = [self.cache.get(x) for x in names]
-        missing = [k for k, f in enumerate(found) if f is None]
-        cut = [self.parts(names[k]) for k in missing]
-        whole = self.whole(list(dict.fromkeys([p for c in cut for p in c])))
-        for k, c in zip(missing, cut, strict=True):
-            of = [whole[p] for p in c]
-            found[k] = of[0] if len(of) == 1 else (b"".join([f[0] for f in of]), sum([f[1] for f in of]), min([f[2] for f in of]))
-        return found
-
-    def whole(self, names: list[str]) -> dict[str, tuple[bytes, float, float]]:
-        """forward_all() of different parts; those above LONGEST go one by one."""
-        found, new = {}, []
-        for x in names:
-            f = self.cache.get(x) or self.older.get(x)
-            found[x] = f
-            if f is None:
-                new.append(x)
-        for k in range(0, len(new), CHUNK):
-            part = [x for x in new[k : k + CHUNK] if len(x) <= LONGEST]
-            found.update(zip(part, self.forward_all(part) if part else [], strict=True))
-        for x in new:
-            if found[x] is None:
-                best = self.search(x)
-                found[x] = self.packed(best[0][1]), best[0][0], best[0][0] - best[1][0] if len(best) > 1 else float("inf")
-        for x in names:
-            if x not in self.cache:
-                if len(self.cache) >= self.limit:
-                    self.cache, self.older = {}, self.cache
-                self.cache[x] = found[x]
-        return found
+        odd = piece >= OTHER
+        if odd.any():
+            ids = [self.ids([c]) for c in piece[odd].tolist()]
+            n = np.ones(len(piece), np.int64)
+            n[odd] = [len(x) for x in ids]
+            whose, piece, odd = np.repeat(whose, n), np.repeat(piece, n), np.repeat(odd, n)
+            piece[odd] = [k for x in ids for k in x]
+        return np.bincount(whose, minlength=len(names)).astype(np.int32), piece.astype("<u4"), total, loss
+
+    def found(self, names: list[str]) -> Best:
+        """The best of different parts, none empty. They are kept for the next time."""
+        at = np.fromiter(map(self.cache.get, names, repeat(-1)), np.int64, len(names))
+        others = np.flatnonzero(at < 0)
+        before = np.fromiter((self.older.get(names[k], -1) for k in others.tolist()), np.int64, len(others))
+        new = others[before < 0].tolist()
+        short, long = ([k for k in new if (len(names[k]) <= LONGEST) == x] for x in (True, False))
+        best = [self.best, chosen(self.older_best, before[before >= 0])]
+        best += [self.forward_all([names[k] for k in short[i : i + CHUNK]]) for i in range(0, len(short), CHUNK)]
+        for k in long:
+            listed = self.search(names[k])
+            ids = np.array(self.ids(reversed(listed[0][1])), "<u4")
+            best.append((np.array([len(ids)], np.int32), ids, np.array([listed[0][0]]), np.array([listed[0][0] - listed[1][0] if len(listed) > 1 else np.inf])))
+        added = np.concatenate([others[before >= 0], np.array(short + long, np.int64)])
+        at[added] = np.arange(len(added)) + len(self.best[0])
+        self.best = tuple(np.concatenate(x) for x in zip(*best, strict=True))
+        self.cache.update(zip([names[k] for k in added.tolist()], at[added].tolist(), strict=True))
+        out = chosen(self.best, at)
+        if len(self.cache) >= self.limit:
+            self.cache, self.older, self.best, self.older_best = {}, self.cache, self.none(), self.best
+        return out
 
     def encode(self, text: str) -> list[tuple[float, bytes]]:
         """The n best of a whole text: (score, ids as little-endian unsigned 32-bit)."""
-        if not text:
-            return [(0.0, b"")]
-        names = SEGMENT.findall(MARK + text.replace(" ", MARK))
-        found = self.segments(names)
-        ends = np.cumsum([len(f[0]) for f in found])
-        return self.combined(b"".join([f[0] for f in found]), sum(f[1] for f in found), np.array([f[2] for f in found]), ends, lambda at: (names[at], found[at]))
-
-    def combined(self, data: bytes, total: float, losses: np.ndarray, ends: np.ndarray, of) -> list[tuple[float, bytes]]:
-        """The n best of segments in a row, from their best ids, what their second best loses, and of(place), a segment and its entry."""
+        return next(self.encode_all(pa.array([text], pa.string())))
+
+    def combined(self, data: bytes, total: float, losses: np.ndarray, ends: np.ndarray, sizes: np.ndarray, name: Callable[[int], str]) -> list[tuple[float, bytes]]:
+        """The n best of parts in a row, from their best ids, what their second best lose, where their ids end and how many they are, and their names."""
         out = []
-        for loss, changes in self.changes(losses, of):
+        for loss, changes in self.changes(losses, name):
             ids = data
             for at, k in reversed(changes):
-                name, found = of(at)
-                ids = ids[: int(ends[at]) - len(found[0])] + self.listed(name)[k][1] + ids[int(ends[at]) :]
+                end = 4 * int(ends[at])
+                ids = ids[: end - 4 * int(sizes[at])] + self.listed(name(at))[k][1] + ids[end:]
             out.append((round(total - loss + COUNT * (len(ids) // 4), 3), ids))
         return out
 
-    def changes(self, losses: np.ndarray, of) -> list[tuple[float, tuple]]:
-        """The n least total losses, and which segments leave their best for which other; ties: the change that comes first."""
+    def changes(self, losses: np.ndarray, name: Callable[[int], str]) -> list[tuple[float, tuple]]:
+        """The n least total losses, and which parts leave their best for which other; ties: the change that comes first."""
         m = self.n - 1
         few = np.arange(len(losses))
         if len(losses) > m:
@@ -441,7 +492,7 @@ class Lattice:
         few = few[np.isfinite(losses[few])]
         out: list[tuple[float, tuple]] = [(0.0, ())]
         for at in sorted(few.tolist()):
-            listed = self.listed(of(at)[0])
+            listed = self.listed(name(at))
             own = [listed[0][0] - x for x, _ in listed]
             out = sorted(((loss + own[k], (*c, *([(at, k)] if k else []))) for loss, c in out for k in range(len(own))), key=lambda x: (x[0], x[1]))[: self.n]
         return out
@@ -453,58 +504,41 @@ class Lattice:
         return self.flat[np.repeat(self.begin[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
     def encode_all(self, texts: pa.Array) -> Iterator[list[tuple[float, bytes]]]:
-        """encode() of every text; distinct words of the array are looked up once."""
-        odd = uncommon(texts)
-        cut = pc.split_pattern(pc.if_else(odd, "", texts), " ")
-        offsets = cut.offsets.to_numpy().astype(np.int64)
-        words = cut.flatten().dictionary_encode()
+        """encode() of every text; different parts of the array are looked up once."""
+        parts, first = self.cut_all(texts)
+        words = parts.dictionary_encode()
         names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = self.segments([MARK + w for w in names])
         which = words.indices.to_numpy()
-        losses = np.array([f[2] for f in found])[which]
-        scores = np.array([f[1] for f in found])[which]
-        flat = np.frombuffer(b"".join([f[0] for f in found]), "<u4")
-        n = np.fromiter((len(f[0]) for f in found), np.int64, len(found)) // 4
-        begin = (np.cumsum(n) - n)[which]
-        n = n[which]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(begin - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        for k, o in enumerate(odd.to_pylist()):
-            if o:
-                yield self.encode(texts[k].as_py())
+        n, ids, scores, losses = chosen(self.found(names), which)
+        ends = np.cumsum(n, dtype=np.int64)
+        for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if i == j:
+                yield [(0.0, b"")]
                 continue
-            i, j = offsets[k] - offsets[0], offsets[k + 1] - offsets[0]
-            first = ends[i] - n[i]
-            of = lambda at, i=i: (MARK + names[which[i + at]], found[which[i + at]])
-            yield self.combined(ids[first : ends[j - 1]].tobytes(), float(scores[i:j].sum()), losses[i:j], 4 * (ends[i:j] - first), of)
+            at = int(ends[i] - n[i])
+            yield self.combined(ids[at : ends[j - 1]].tobytes(), float(scores[i:j].sum()), losses[i:j], ends[i:j] - at, n[i:j], lambda k, i=i: names[which[i + k]])
 
 
-_lattices: dict[tuple[str, int, bytes], Lattice] = worker_cache("lattices")
+_lattices: dict[tuple[str, int], Lattice] = worker_cache("lattices")
 
 
-def lattice(path: str, n: int, scores: np.ndarray) -> Lattice:
-    """The lattice of a worker process; of one fit only, the one in use."""
-    key = (path, n, scores.tobytes())
-    if key not in _lattices:
-        _lattices.clear()
-        _lattices[key] = Lattice(path, n, scores=scores)
-    return _lattices[key]
+def lattice(path: str, n: int, scores: np.ndarray | None = None) -> Lattice:
+    """The lattice of a worker process, with the scores in use, if they matter."""
+    if (path, n) not in _lattices:
+        _lattices[path, n] = Lattice(path, n, scores=scores)
+    own = _lattices[path, n]
+    if scores is not None and not np.array_equal(own.scores, scores):
+        own.score_by(scores)
+    return own
 
 
 def counted_words(batches: Iterator[pa.RecordBatch], own: Lattice) -> Iterator[pa.RecordBatch]:
-    """The parts of the segments of each batch and how often they occur."""
+    """The parts of the texts of each slice of a batch and how often they occur."""
     for b in batches:
-        for k in range(0, b.num_rows, 2048):
-            texts = b.column("text").slice(k, 2048)
-            odd = uncommon(texts)
-            plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ").flatten().value_counts()
-            more = Counter(w for t in texts.filter(odd).to_pylist() if t for w in SEGMENT.findall(MARK + t.replace(" ", MARK)))
-            words = [MARK + w for w in plain.field("values").to_numpy(zero_copy_only=False).tolist()] + list(more)
-            counts: dict[str, int] = {}
-            for w, n in zip(words, plain.field("counts").to_pylist() + list(more.values()), strict=True):
-                for p in own.parts(w):
-                    counts[p] = counts.get(p, 0) + n
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        texts = b.column("text")
+        for i, j in slices(texts, 2 * SLICE):
+            found = own.cut_all(texts.slice(i, j - i))[0].value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
 
 
 EDGES = {"size": "<u4", "step": "<u4", "length": "u1", "piece": "<u4", "count": "<i8"}
@@ -531,15 +565,14 @@ def expected_counts(batches: Iterator[pa.RecordBatch], own: Lattice, scores: np.
 
 
 def fitted(docs: DataFrame, path: str, n: int) -> np.ndarray:
-    """estimated() over the segments of all texts."""
+    """estimated() over the parts of all texts."""
     own = Lattice(path, n)
-    blank = np.full(len(own.sizes), -float(np.log(max(1, len(own.pieces)))))
-    words = documents(docs).select("text").mapInArrow(lambda x: tidy(counted_words(x, lattice(path, n, blank)), "lattices"), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = documents(docs).select("text").mapInArrow(lambda x: tidy(counted_words(x, lattice(path, n)), "lattices"), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     with scratch(docs.sparkSession):
-        table = materialize(words.mapInArrow(lambda x: tidy(packed_edges(x, lattice(path, n, blank)), "lattices"), ", ".join(f"{c} binary" for c in EDGES)), "edges")
+        table = materialize(words.mapInArrow(lambda x: tidy(packed_edges(x, lattice(path, n)), "lattices"), ", ".join(f"{c} binary" for c in EDGES)), "edges")
 
         def expect(scores: np.ndarray | None) -> np.ndarray:
-            found = table.mapInArrow(lambda x: tidy(expected_counts(x, lattice(path, n, blank), scores), "lattices"), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+            found = table.mapInArrow(lambda x: tidy(expected_counts(x, lattice(path, n), scores), "lattices"), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
             out = np.zeros(len(own.sizes))
             out[[r["piece"] for r in found]] = [r["n"] for r in found]
             return out
@@ -560,13 +593,14 @@ def encode_documents(docs: DataFrame, path: str | None = None, n: int = N) -> Da
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(path, n, scores)
         for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                part, out = b.slice(k, 1024), []
+            for i, j in slices(b.column("text")):
+                part, out = b.slice(i, j - i), []
                 texts = part.column("text")
                 for doc_id, text, best in zip(part.column("doc_id").to_pylist(), texts, own.encode_all(texts), strict=True):
                     data = own.decode(np.frombuffer(best[0][1], "<u4"))[1:]
                     same = data == text.as_py().replace(MARK, " ").encode("utf-8", "surrogatepass")
                     out.append((doc_id, len(best[0][1]) // 4, [zlib.crc32(x) for _, x in best], [s for s, _ in best], zlib.crc32(data), same))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                trim()
 
     return documents(docs).mapInArrow(lambda batches: tidy(work(batches), "lattices"), SCHEMA)

@@ -708,3 +708,21 @@ def test_expected_counts_beyond_the_range_of_products():
     whose = np.repeat(np.arange(4), size)[start]
     logs = own.by_logarithms(size, start, length, whose, np.where(piece < nbest.OTHER, scores[np.where(piece < nbest.OTHER, piece, 0)], low))
     assert np.abs(np.bincount(piece[piece < nbest.OTHER], logs[piece < nbest.OTHER], len(own.sizes)) - own.expected(edges, np.ones(4), scores) / nbest.UNIT).max() < 1e-4
+
+
+def test_texts_are_cut_at_once_where_no_piece_joins_letters():
+    path, rng = tokens.vocabulary("piece_bpe_32k.model"), random.Random(7)
+    own, small = nbest.Lattice(path), nbest.Lattice(path, limit=16)
+    texts = ["", "".join(map(chr, range(0x4E00, 0x4E40))), nbest.MARK, " ", "  x ", "", "\0 \0", "\u2603" * 70 + "é" * 70, ""]
+    texts += ["".join(rng.choice("theaion .,\n\0é一三\U0001f600живש▁") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    for some in (pa.array(texts), pa.array(["x", *texts, "y"]).slice(1, len(texts)), pa.array(["", ""]), pa.array([], pa.string())):
+        parts, first = own.cut_all(some)
+        found = [parts.slice(i, j - i).to_pylist() for i, j in zip(first[:-1], first[1:], strict=True)]
+        marked = [nbest.MARK + t.replace(" ", nbest.MARK) if t else "" for t in some.to_pylist()]
+        cuts = [[k for k in range(1, len(m)) if m[k - 1 : k + 1] not in own.pairs] for m in marked]
+        assert found == [[m[i:j] for i, j in zip([0, *c], [*c, len(m)], strict=True)] if m else [] for m, c in zip(marked, cuts, strict=True)]
+    assert len(own.parts(texts[1])) > 1  # letters, most pairs of which no piece has
+    expect = list(own.encode_all(pa.array(texts)))
+    assert [x for t in texts for x in small.encode_all(pa.array([t]))] == expect and len(small.cache) + len(small.older) < 140
+    assert list(small.encode_all(pa.array(texts))) == expect
+    assert list(nbest.slices(pa.array(["abc", "", "de", "f" * 9, "g"]), 5)) == [(0, 3), (3, 4), (4, 5)]
