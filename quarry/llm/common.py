@@ -44,7 +44,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _scopes.remove(paths)
+        _scopes.pop()  # not remove(), which takes the first of equal lists
         for x in paths:
             delete(spark, x)
 

@@ -15,13 +15,16 @@ no pair is dropped. Links leave as (member, least member of its component).
 near_dedup() also links texts whose sets of shingles have a Jaccard likeness of LIKE = 4/5 or more. Sets in the order of their digests: sets
 this alike share at least 4/5 of the larger, so that their first n - 4n/5 + l(n) digests share l(min(a, b)) or more.
 
-1. Texts of whose first digests another text has fewer than l(n) leave: no pairs are made for that, only counts by digest.
+1. Texts of whose first digests others have fewer than l(n) = n/5 leave: no pairs are made for that, only counts by digest. Of 2n/5 digests half must
+   be shared, so that what common words share by chance, which grows with the corpus, lets few texts through.
 2. Of the others whole sets are counted alike: a text stays only if 4/5 of its set stands in texts of other components.
 3. By a few minima of rehashed sets, each text is verified against one text of its group (that with the largest share in others): linear in the
    texts. A dense group of near copies falls into one component here, and 2 is done again with the new components.
 4. What is left pairs up by shared first digests, where sizes and the counts of 2 allow a likeness of 4/5, and every pair is verified on the whole
    sets. Texts of a digest that more than CROWD have are compared by bitmaps in tiles of their crowd (what such digests connect): no pairs are emitted there.
 
+Counts are made in up to PASSES passes over the digests, a part of their range each, so that what a pass sends is gone before the next begins.
+
 The path loses no link but for equal digests (64 bits in a set, 32 bits or more in the counts, where they only let more texts through).
 
 Defined results: a null or empty text has fingerprint zero, and such rows are linked like any other; fewer words than a shingle
@@ -50,6 +53,7 @@ SMALL = 48
 LIKE, MINIMA, ROUNDS = (4, 5), 4, 2
 CROWD, TILE = 16, 1024  # texts of a digest that are paired one by one; texts of a tile
 ROWS, KEYS, FEW = 5_000, 1 << 20, 1_000_000  # rows and digests packed at once; rows that may be broadcast
+PASSES, PASS_BYTES = 8, 1 << 28  # passes of a count at most (a power of two); bytes of input for which one is made
 MIX = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -205,8 +209,8 @@ def linked(batches: Iterator[pa.RecordBatch], bits: int, n_pivots: int) -> Itera
 
 
 def share(n: np.ndarray | int) -> np.ndarray | int:
-    """How many digests sets this alike share at the least, if the smaller has n, among those that prefix() takes."""
-    return 1 + n // 20
+    """How many digests a set of n shares at the least with one this alike, among those that prefix() takes of both."""
+    return np.maximum(1, n // 5)
 
 
 def prefix(ordered: np.ndarray, least: int = 0) -> np.ndarray:
@@ -215,9 +219,10 @@ def prefix(ordered: np.ndarray, least: int = 0) -> np.ndarray:
     return ordered[: n - -(-LIKE[0] * n // LIKE[1]) + (least or share(n))] if n else ordered
 
 
-def packed_digests(batches: Iterator[pa.RecordBatch], column: str, parts: int) -> Iterator[pa.RecordBatch]:
-    """by_part() of the digests in a column, with their rows and, if there are any, labels; a row that a batch repeats counts once."""
+def packed_digests(batches: Iterator[pa.RecordBatch], column: str, parts: int, at_pass: int = 0, passes: int = 1) -> Iterator[pa.RecordBatch]:
+    """by_part() of the digests in a column that fall into a pass, with their rows and, if there are any, labels; a row that a batch repeats counts once."""
     down = np.uint64(32 - (parts.bit_length() - 1))
+    low, high = (np.uint64((k * parts // passes) << 32) for k in (at_pass, at_pass + 1))
     for b in batches:
         start, size = 0, 0
         for k in range(b.num_rows):
@@ -230,6 +235,9 @@ def packed_digests(batches: Iterator[pa.RecordBatch], column: str, parts: int) -
             sets = [np.frombuffer(part.column(column)[i].as_buffer(), "<u8") for i in at.tolist()]
             keys = np.concatenate(sets) * MIX >> down
             of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            if passes > 1:
+                now = (keys >= low) & (keys < high)
+                keys, of = keys[now], of[now]
             yield by_part(keys, of, parts, *(part.column(c).to_numpy()[at] for c in ("row", "label") if c in b.schema.names))
 
 
@@ -256,13 +264,22 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(m)], names=["row", "m"])
 
 
-def shared_counts(texts: DataFrame, column: str, parts: int) -> DataFrame:
-    """row and m: how many digests of the column stand in other rows (of another label, if texts have labels)."""
-    labelled = "label" in texts.columns
-    packed = texts.select("row", column, *["label"] * labelled).mapInArrow(lambda x: tidy(packed_digests(x, column, parts)), PACKED + ", labels binary" * labelled)
-    tasks = shuffle_partitions(texts.sparkSession)
-    found = packed.repartition(min(parts, max(16, tasks)), "part").sortWithinPartitions("part").mapInArrow(lambda x: tidy(counted(x, tasks)), "group int, rows binary, ms binary")
-    return found.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(lambda x: tidy(summed(x)), "row long, m long")
+def shared_counts(texts: DataFrame, column: str, parts: int, passes: int = 1) -> DataFrame:
+    """row and m: how many digests of the column stand in other rows (of another label, if texts have labels). The counts of each pass are a table, its shuffle files go before the next."""
+    labelled, tasks = "label" in texts.columns, shuffle_partitions(texts.sparkSession)
+
+    def of_pass(k: int) -> DataFrame:
+        packed = texts.select("row", column, *["label"] * labelled).mapInArrow(lambda x: tidy(packed_digests(x, column, parts, k, passes)), PACKED + ", labels binary" * labelled)
+        found = packed.repartition(min(parts // passes, max(16, tasks)), "part").sortWithinPartitions("part").mapInArrow(lambda x: tidy(counted(x, tasks)), "group int, rows binary, ms binary")
+        return found.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(lambda x: tidy(summed(x)), "row long, m long")
+
+    if passes == 1:
+        return of_pass(0)
+    counts = []
+    for k in range(passes):
+        with step(texts.sparkSession):
+            counts.append(materialize(of_pass(k), "counts", keep=True))
+    return reduce(DataFrame.union, counts).groupBy("row").agg(F.sum("m").alias("m"))
 
 
 def minima(batches: Iterator[pa.RecordBatch], round_: int) -> Iterator[pa.RecordBatch]:
@@ -392,38 +409,61 @@ def relabelled(rows: DataFrame, links: DataFrame, label: str = "label") -> DataF
     return rows.join(joined, rows[label] == joined["_node"], "left").withColumn(label, F.coalesce("_label", label)).drop("_node", "_label")
 
 
+def joined(df: DataFrame, few: DataFrame) -> DataFrame:
+    """df with the columns of few, a table by _row, which is broadcast if it may be: the texts or sets of df then stay where they are."""
+    return df.join(F.broadcast(few) if few.count() <= FEW else few, F.col("row") == F.col("_row")).drop("_row")
+
+
 def sets_of(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
-    """row, n and the whole set (own) of the texts that have a row in rows."""
-    few = materialize(rows.select(F.col("row").alias("_row")), "rows")
-    found = documents(docs).select(F.xxhash64("text").alias("row"), "text")
-    found = found.join(F.broadcast(few) if few.count() <= FEW else few, F.col("row") == F.col("_row")).drop("_row").dropDuplicates(["row"])
+    """row, n, the whole set (own) and the label of the texts that have a row and label in rows."""
+    few = materialize(rows.select(F.col("row").alias("_row"), "label"), "rows")
+    found = joined(documents(docs).select(F.xxhash64("text").alias("row"), "text"), few).dropDuplicates(["row"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(list(digests(t.as_py(), shingle))) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["row", "n", "own"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), b.column("label")], names=["row", "n", "own", "label"])
 
-    return found.mapInArrow(lambda batches: tidy(work(batches)), "row long, n long, own binary")
+    return found.mapInArrow(lambda batches: tidy(work(batches)), "row long, n long, own binary, label long")
 
 
-def still_linked(texts: DataFrame, parts: int) -> DataFrame:
+def still_linked(texts: DataFrame, parts: int, passes: int) -> DataFrame:
     """The texts of whose set at least 4/5 stands in texts of other labels; m counts those digests."""
-    counts = shared_counts(texts, "own", parts).withColumnRenamed("row", "_row")
-    return texts.join(counts, F.col("row") == F.col("_row")).where(F.col("m") * LIKE[1] >= F.col("n") * LIKE[0]).select("row", "label", "n", "own", "m")
+    counts = shared_counts(texts, "own", parts, passes).withColumnRenamed("row", "_row")
+    few = texts.select("row", "n").join(counts, F.col("row") == F.col("_row")).where(F.col("m") * LIKE[1] >= F.col("n") * LIKE[0]).select("_row", "m")
+    return joined(texts, materialize(few, "rows")).select("row", "label", "n", "own", "m")
+
 
+def parts_for(docs: DataFrame) -> tuple[int, int]:
+    """Parts that digests are dealt to, and passes that count them (one where Catalyst has no size and takes the largest)."""
+    size = input_bytes(docs)
+    passes = min(PASSES.bit_length() - 1, (size // PASS_BYTES).bit_length()) if size < 1 << 50 else 0
+    return 1 << max(4, min(16, (size >> 22).bit_length())), 1 << passes
 
-def alike_labels(docs: DataFrame, own: DataFrame, labels: DataFrame, shingle: int) -> DataFrame:
-    """Links (a, b) between the labels (row, label) of texts whose sets are alike; own has row, n and first."""
+
+def candidates(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """The rows of texts of whose first digests enough stand in others; own has row, n and first."""
+    counts = shared_counts(own, "first", *parts_for(docs)).withColumnRenamed("row", "_row")
+    sizes = own.select("row", "n").distinct()
+    return sizes.join(counts, F.col("row") == F.col("_row")).where(F.col("m") >= F.greatest(F.lit(1), F.floor(F.col("n") / 5))).select("row")
+
+
+def fingerprints_and_candidates(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, fp, row and n of every row, and candidates(); first digests go with the step."""
+    with step(docs.sparkSession):
+        own = materialize(fingerprints(docs, shingle, alike=True), "fingerprints")
+        found = materialize(candidates(docs, own), "rows", keep=True)
+        return materialize(own.drop("first"), "fingerprints", keep=True), found
+
+
+def alike_labels(docs: DataFrame, found: DataFrame, labels: DataFrame, shingle: int) -> DataFrame:
+    """Links (a, b) between the labels (row, label) of texts whose sets are alike; found has the rows of candidates()."""
     spark = docs.sparkSession
-    parts, tasks = 1 << max(4, min(16, (input_bytes(docs) >> 22).bit_length())), shuffle_partitions(spark)
-    with step(spark):
-        counts = shared_counts(own, "first", parts).withColumnRenamed("row", "_row")
-        sizes = own.select("row", "n").distinct()
-        found = materialize(sizes.join(counts, F.col("row") == F.col("_row")).where(F.col("m") >= 1 + F.floor(F.col("n") / 20)), "rows", keep=True)
+    (parts, passes), tasks = parts_for(docs), shuffle_partitions(spark)
     with step(spark):
         with step(spark):
-            whole = materialize(sets_of(docs, found, shingle).join(labels, "row"), "sets", keep=True)
-        texts = materialize(still_linked(whole, parts), "sets", keep=True)
+            whole = materialize(sets_of(docs, found.join(labels, "row"), shingle), "sets", keep=True)
+        texts = materialize(still_linked(whole, parts, passes), "sets", keep=True)
     links = []
     for k in range(ROUNDS):
         with step(spark):
@@ -432,7 +472,7 @@ def alike_labels(docs: DataFrame, own: DataFrame, labels: DataFrame, shingle: in
             new = materialize(linked_labels(stars, texts), "links", keep=True)
             links.append(new)
         with step(spark):
-            texts = materialize(still_linked(relabelled(texts.drop("m"), new), parts), "sets", keep=True)
+            texts = materialize(still_linked(materialize(relabelled(texts.drop("m"), new), "relabelled"), parts, passes), "sets", keep=True)
     with step(spark):
         found = texts.mapInArrow(lambda x: tidy(token_rows(x)), "token long, row long, label long, n long, m long")
         pairs = found.repartition(tasks, "token").sortWithinPartitions("token").mapInArrow(lambda x: tidy(token_pairs(x, CROWD)), "a long, b long, crowded boolean")
@@ -463,7 +503,7 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS, hot: int = HOT) -> DataF
 def near_classes(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, alike: bool = False) -> DataFrame:
     """doc_id, fp and component_id, the least doc_id that links reach, of every row; alike also links by likeness of the shingles, and gives row."""
     with scratch(docs.sparkSession):
-        own = materialize(fingerprints(docs, shingle, alike), "fingerprints")
+        own, found = fingerprints_and_candidates(docs, shingle) if alike else (materialize(fingerprints(docs, shingle), "fingerprints"), None)
         with step(docs.sparkSession):
             first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
             labels = components(fingerprint_links(own.select("fp").distinct(), bits))
@@ -471,7 +511,7 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, alik
             of = materialize(of, "classes", keep=True)
         if alike:
             by_text = own.select("row", "fp").distinct().join(of.select("fp", "label"), "fp").select("row", "label")
-            of = materialize(relabelled(of, alike_labels(docs, own, by_text, shingle)), "classes")
+            of = materialize(relabelled(of, alike_labels(docs, found, by_text, shingle)), "classes")
         least = of.groupBy("label").agg(F.min("first").alias("component_id"))
         classes = of.join(least, "label").select(F.col("fp").alias("_fp"), "component_id")
         return materialize(own.join(classes, own["fp"] == classes["_fp"]).select("doc_id", "fp", "component_id", *["row"] * alike), "near", keep=True)

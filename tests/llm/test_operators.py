@@ -636,6 +636,14 @@ def test_tables_of_a_step_go_with_it(spark):
     assert not found(stays) and found(kept)
 
 
+def test_an_empty_scope_ends_alone(spark):
+    with common.scratch(spark):
+        outer = common._scopes[-1]
+        with common.scratch(spark):
+            pass
+        assert common._scopes[-1] is outer
+
+
 def test_the_fit_takes_every_word_of_every_text(spark):
     path = tokens.vocabulary("piece_bpe_32k.model")
     rng = random.Random(5)

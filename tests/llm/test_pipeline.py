@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -81,3 +82,41 @@ def test_near_stage_takes_every_likeness_from_four_fifths(spark, monkeypatch, cr
     keep, missed = brute_near(dict(rows))
     out = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert missed > 20 and {r.doc_id for r in out.collect()} == keep
+
+
+def test_first_digests_hold_what_alike_sets_must_share():
+    for a in range(1, 400):
+        for b in range(-(-4 * a // 5), 5 * a // 4 + 1):
+            least, own, other = -(-4 * (a + b) // 9), *(len(near_dedup.prefix(np.arange(x))) for x in (a, b))
+            wanted = max(1, a // 5)
+            # However the shared digests lie, the first ones stand behind all that only one of the two has.
+            assert least > min(a, b) or (wanted <= least and wanted + a - least <= own and wanted + b - least <= other)
+
+
+def test_texts_that_share_a_third_by_chance_leave_before_whole_sets_are_made(spark):
+    rng = random.Random(4)
+    common = [[f"c{rng.randrange(10**6)}" for _ in range(60)] for _ in range(20)]
+    rows = [(k, " ".join(common[k % 20] + [f"w{k}x{j}" for j in range(110)])) for k in range(60)]
+    rows += [(60, rows[7][1] + " more"), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own, found = near_dedup.fingerprints_and_candidates(docs, 5)
+    left = {r.doc_id for r in own.join(found, "row").collect()}
+    assert {7, 60} <= left and len(left) < 10
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_counts_in_passes_are_those_of_one(spark, labelled):
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 64, 300, np.uint64)
+    sets = [np.unique(rng.choice(pool, 40)) for _ in range(30)]
+    rows = [(k, k // 2, x.tobytes()) for k, x in enumerate(sets)]
+    texts = spark.createDataFrame([*rows, rows[3]], "row long, label long, own binary").repartition(3)
+    texts = texts if labelled else texts.drop("label")
+    of = {k: k // 2 if labelled else k for k in range(30)}
+    brute = {k: sum(any(of[j] != of[k] and v in sets[j] for j in range(30)) for v in x.tolist()) for k, x in enumerate(sets)}
+    for passes in (1, 4, 8):
+        found = near_dedup.shared_counts(texts, "own", 16, passes)
+        assert {r.row: r.m for r in found.collect()} == {k: m for k, m in brute.items() if m}
+    batch = texts.select("row", "own").toArrow().to_batches()
+    sent = [sum(len(x) for b in near_dedup.packed_digests(iter(batch), "own", 16, k, 8) for x in b.column("keys").to_pylist()) for k in range(8)]
+    assert all(sent) and max(sent) < sum(sent) / 4
