@@ -56,3 +56,22 @@ def test_charge_is_that_of_all_pairs():
     finally:
         np.maximum = plain
     assert sum(seen) < 9000**2 / 3
+
+
+def test_charge_weighs_a_pair_once():
+    import numpy as np
+
+    from quarry.operators import analytics
+
+    k = np.arange(9000)
+    spread, seen, plain = np.stack([10 * np.sqrt(k) * np.cos(k * 2.4), 10 * np.sqrt(k) * np.sin(k * 2.4)], axis=1), [], np.maximum
+    try:
+        np.maximum = lambda a, b, **more: seen.append(np.size(a)) or plain(a, b, **more)
+        analytics.charge(spread, 280.0)
+    finally:
+        np.maximum = plain
+    assert sum(seen) < 9000**2 / 10
+    d = spread[None] - spread[:, None]
+    r2 = (d**2).sum(axis=2)
+    weight = (r2 <= 280.0**2) / plain(r2, 1.0)
+    assert np.allclose(analytics.charge(spread, 280.0), np.einsum("ij,ijk->ik", weight, d), rtol=0, atol=1e-9)
